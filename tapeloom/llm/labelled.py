@@ -22,7 +22,7 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column,
     The labels are cut to the bound before the join, so their side is broadcast with a proven size
     and the documents are not shuffled. Rows without an id or a label are left out.
     """
-    known = pick(labels, doc_id="doc_id", label=label).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).where(learn_from)
+    known = pick(labels, doc_id="doc_id", label=label).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).where(learn_from).distinct()
     known = sample_by_hash(known, "doc_id", fit_docs, known.count())
     own = known.select(F.col("doc_id").alias("own"), (F.col("label") > 0).cast("int").alias("label"))
     docs = pick(docs, "doc_id", "text")

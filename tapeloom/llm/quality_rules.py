@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import BLANK_CLASS, BLANKS, pick, words, written
 
 SYMBOLS = "#*$%&|<>"
-#: Rows on which cost and selectivity are estimated: the table's first.
+#: Rows on which cost and selectivity are estimated: about so many, chosen at random.
 SAMPLE_ROWS = 1000
 WINDOW = 3
 
@@ -98,8 +98,10 @@ def further_rules() -> list[Rule]:
 
 def ordered(docs: DataFrame, given: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by estimated rejection per second, highest first; of equals as given."""
-    text = F.coalesce("text", F.lit(""))
-    sample = written(docs.select("text").limit(sample_rows).select(text.alias("text"), words(text).alias("words")), "rule-sample")
+    text, total = F.coalesce("text", F.lit("")), docs.count()
+    # A random sample rather than a limit, which would send as many rows of every partition to one task.
+    some = docs.select("text").sample(min(1.0, sample_rows / max(total, 1)), seed=5)
+    sample = written(some.select(text.alias("text"), words(text).alias("words")), "rule-sample")
 
     def timed(column: Column) -> tuple[float, float]:
         began = time.perf_counter()
