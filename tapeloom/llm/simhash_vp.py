@@ -30,8 +30,8 @@ from tapeloom.llm.common import pick, written
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Distinct fingerprints that a shard is meant to hold, and the bounds of the tree's sample.
-SHARD_POINTS, SAMPLE_LEAST, SAMPLE_MOST = 4096, 4096, 1_000_000
-_LEAF, _BLOCK = 384, 64
+SHARD_POINTS, SAMPLE_LEAST, SAMPLE_MOST = 32768, 4096, 1_000_000
+_LEAF, _BLOCK = 4096, 64
 
 
 def fingerprint(text: str | None) -> int:
@@ -94,6 +94,19 @@ def grow(sample: np.ndarray, leaf: int, seed: int = 1) -> list:
     return [*split, grow(sample[inside], leaf, 2 * seed), grow(sample[~inside], leaf, 2 * seed + 1)]
 
 
+def _sides(d: np.ndarray, mu: int, vantage: int, home: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """((goes in, belongs in), (goes out, belongs out)) for points at distance d from a node's vantage point.
+
+    Near the boundary the homes of one side visit the other - one way is enough to meet, and its
+    direction follows the vantage point, so that visitors spread evenly; visitors go to both.
+    """
+    outward = bool(int(vantage) & 1)
+    inner = d <= mu
+    go_in = inner | (d <= mu + RADIUS) & ~(home & outward)
+    go_out = ~inner | (d > mu - RADIUS) & ~(home & (not outward))
+    return (go_in, inner), (go_out, ~inner)
+
+
 def route(tree: list, points: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(shard, indexes, home) for each shard: its home points and the visitors from across a boundary."""
     stack, shard = [(tree, np.arange(len(points)), np.ones(len(points), bool))], 0
@@ -105,11 +118,8 @@ def route(tree: list, points: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.
             continue
         vantage, mu, inner, outer = node
         d = _away(points[at], np.uint64(vantage))
-        # Homes of the inner side visit the outer one; visitors go wherever a home within reach may be.
-        go_in = np.where(home, d <= mu, d <= mu + RADIUS)
-        go_out = d > mu - RADIUS
-        stack.append((outer, at[go_out], (home & (d > mu))[go_out]))
-        stack.append((inner, at[go_in], home[go_in]))
+        for side, go, stays in ((outer, *_sides(d, mu, vantage, home)[1]), (inner, *_sides(d, mu, vantage, home)[0])):
+            stack.append((side, at[go], (home & stays)[go]))
 
 
 def _stars(points: np.ndarray, labels: np.ndarray, at: np.ndarray) -> None:
@@ -158,9 +168,9 @@ def link(points: np.ndarray, home: np.ndarray, seed: int = 1) -> np.ndarray:
         split = _split(points[own], seed) if len(own) > _LEAF else None
         if split is not None:
             vantage, mu = split
-            d, g = _away(points[own], vantage), _away(points[guests], vantage)
-            inner = (own[d <= mu], guests[g <= mu + RADIUS])
-            outer = (own[d > mu], np.concatenate((guests[g > mu - RADIUS], own[(d <= mu) & (d > mu - RADIUS)])))
+            both, home_of = np.concatenate((own, guests)), np.arange(len(own) + len(guests)) < len(own)
+            (go_in, stays_in), (go_out, stays_out) = _sides(_away(points[both], vantage), mu, vantage, home_of)
+            inner, outer = ((both[go & home_of & stays], both[go & ~(home_of & stays)]) for go, stays in ((go_in, stays_in), (go_out, stays_out)))
             if max(len(inner[0]) + len(inner[1]), len(outer[0]) + len(outer[1])) <= 0.95 * (len(own) + len(guests)):
                 stack += [(*inner, 2 * seed), (*outer, 2 * seed + 1)]
                 continue
