@@ -132,6 +132,11 @@ def with_next(docs: DataFrame) -> DataFrame:
         dealt = dealt.withColumn("at", F.explode(at)).select("own", "doc_id", "text", "at.bucket", "at.guest")
     else:
         dealt = dealt.withColumn("guest", F.lit(0))
+    # Buckets under keys that hash to partitions of their own, so that no task gets two.
+    slots = spark.range(40 * n).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("slot"), F.col("id").cast("int").alias("key")).groupBy("slot").agg(F.min("key").alias("key")).collect()
+    keys = {r["slot"]: r["key"] for r in slots}
+    named = F.element_at(F.array(*(F.lit(keys.get(i, 40 * n + i)) for i in range(n))), F.col("bucket") + 1)
+    dealt = dealt.withColumn("bucket", named)
     return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", "own", "text").select("bucket", "doc_id", "text", "guest")
 
 
