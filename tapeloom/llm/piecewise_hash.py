@@ -62,7 +62,7 @@ def fingerprint(text: str | None) -> str:
     while block * LENGTH < len(data):
         block *= 2
     at, (ends, hashes) = max(LEAST_BLOCK, block // 2), triggers(data, max(LEAST_BLOCK, block // 2))
-    while block > LEAST_BLOCK and (hashes % np.uint32(block) == block - 1).sum() < LENGTH // 2 - 1:
+    while block > LEAST_BLOCK and (hashes % np.uint32(block) == block - 1).sum() < LENGTH // 4:
         block //= 2
         if block < at:
             at, (ends, hashes) = block, triggers(data, block)
@@ -84,11 +84,15 @@ def _common(a: str, b: str) -> int:
 
 
 def _alike(a: str, b: str) -> float:
-    """1 less the edit distance (insertions and deletions) per character; 0 without a common run."""
+    """1 less the edit distance (insertions and deletions) per character.
+
+    0 without a common run of COMMON characters, or of half the shorter signature if that is less.
+    """
     if a == b:
         return 1.0
-    runs = {a[i : i + COMMON] for i in range(len(a) - COMMON + 1)}
-    if not any(b[i : i + COMMON] in runs for i in range(len(b) - COMMON + 1)):
+    run = max(1, min(COMMON, len(a) // 2, len(b) // 2))
+    runs = {a[i : i + run] for i in range(len(a) - run + 1)}
+    if not any(b[i : i + run] in runs for i in range(len(b) - run + 1)):
         return 0.0
     return 2 * _common(a, b) / (len(a) + len(b))
 
