@@ -26,8 +26,9 @@ def single(x: Column) -> Column:
 
 
 def singles(df: DataFrame) -> DataFrame:
-    """All DOUBLE columns rounded to single precision."""
-    return df.select(*(single(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    """All DOUBLE columns rounded to single precision, timestamps without a zone."""
+    kinds = {"double": single, "timestamp": lambda c: c.cast("timestamp_ntz")}
+    return df.select(*(kinds[t](F.col(c)).alias(c) if t in kinds else F.col(c) for c, t in df.dtypes))
 
 
 def rounded(query: str, *columns: str) -> str:
