@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from tapeloom.functions import safe
 
-_EVERY_COLUMNS = ()
 
+def _day() -> WindowSpec:
+    return Window.partitionBy("datetime")
 
 
 def _partition(by: Sequence[str]) -> WindowSpec:
@@ -153,7 +154,7 @@ def group_returns(df: DataFrame, factor: str, label: str, n: int = 5, reverse: b
     """
     both = df.where(F.col(factor).isNotNull() & F.col(label).isNotNull())
     order = F.col(factor).asc() if reverse else F.col(factor).desc()
-    ranked = both.withColumns({"_k": F.row_number().over(_DAY.orderBy(order, "symbol")) - 1, "_m": F.floor(F.count(F.lit(1)).over(_DAY) / n)})
+    ranked = both.withColumns({"_k": F.row_number().over(_day().orderBy(order, "symbol")) - 1, "_m": F.floor(F.count(F.lit(1)).over(_day()) / n)})
     ranked = ranked.where("_m > 0").withColumn("_g", F.floor(F.col("_k") / F.col("_m")) + 1)
     groups = ranked.groupBy("datetime").agg(*(F.avg(F.when(F.col("_g") == g, F.col(label))).alias(f"group_{g}") for g in range(1, n + 1)), F.avg(label).alias("average"))
     made = groups.withColumns({"long_short": (F.col("group_1") - F.col(f"group_{n}")) / 2, "long_average": F.col("group_1") - F.col("average")})
@@ -171,15 +172,15 @@ def autocorrelation(df: DataFrame, factor: str, lag: int = 1) -> DataFrame:
     """(datetime, autocorr): correlation of the factor's percentile ranks with those ``lag`` rows earlier of the symbol."""
     at = df.withColumn("_lag", F.lag(factor, lag).over(Window.partitionBy("symbol").orderBy("datetime")))
     ranks = at.withColumns({"_x": safe.average_rank(F.col(factor), ["datetime"], Window), "_y": safe.average_rank(F.col("_lag"), ["datetime"], Window)})
-    share = lambda c: safe.ratio(F.col(c), F.count(c).over(_DAY))
+    share = lambda c: safe.ratio(F.col(c), F.count(c).over(_day()))
     return ranks.withColumns({"_x": share("_x"), "_y": share("_y")}).groupBy("datetime").agg(safe.corr(F.col("_x"), F.col("_y")).alias("autocorr"))
 
 
 def turnover(df: DataFrame, factor: str, n: int = 5, lag: int = 1) -> DataFrame:
     """(datetime, top, bottom): share of the extreme n-th that was not in it ``lag`` rows earlier."""
     at = df.where(F.col(factor).isNotNull()).withColumn("_lag", F.lag(factor, lag).over(Window.partitionBy("symbol").orderBy("datetime"))).where("_lag IS NOT NULL")
-    at = at.withColumn("_m", F.floor(F.count(F.lit(1)).over(_DAY) / n))
-    place = lambda c: F.row_number().over(_DAY.orderBy(c, "symbol"))
+    at = at.withColumn("_m", F.floor(F.count(F.lit(1)).over(_day()) / n))
+    place = lambda c: F.row_number().over(_day().orderBy(c, "symbol"))
     at = at.withColumns({"t0": place(F.col(factor).desc()), "t1": place(F.col("_lag").desc()), "b0": place(F.col(factor)), "b1": place(F.col("_lag"))})
     kept = lambda a, b: 1 - safe.ratio(F.count_if((F.col(a) <= F.col("_m")) & (F.col(b) <= F.col("_m"))), F.max("_m"))
     return at.where("_m > 0").groupBy("datetime").agg(kept("t0", "t1").alias("top"), kept("b0", "b1").alias("bottom"))
@@ -199,7 +200,7 @@ def screen(df: DataFrame, columns: Sequence[str], label: str, threshold: float,
     for c in columns:  # a feature goes if an earlier one is too like it
         if not any((e, c) in high for e in columns[: list(columns).index(c)]):
             kept.append(c)
-    at = df.withColumn("_k", F.row_number().over(Window.orderBy("datetime", "symbol"))).withColumn("_in", F.col("_k") <= F.floor(F.count(F.lit(1)).over(_EVERY) * share))
+    at = df.withColumn("_k", F.row_number().over(Window.orderBy("datetime", "symbol"))).withColumn("_in", F.col("_k") <= F.floor(F.count(F.lit(1)).over(Window.partitionBy()) * share))
     part = lambda c, inside: safe.corr(F.when(F.col("_in") == inside, F.col(c)), F.when(F.col("_in") == inside, F.col(label)))
     row = at.agg(*(part(c, i).alias(f"{c}_{int(i)}") for c in kept for i in (True, False)))
     long = row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"{c}_1").alias("ic_in"), F.col(f"{c}_0").alias("ic_out")) for c in kept))).alias("x")).select("x.*")

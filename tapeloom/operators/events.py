@@ -12,13 +12,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.functions import safe
 
-_BARS = Window.partitionBy("symbol").orderBy("datetime")
+
+def _bars() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("datetime")
 
 
 # -- labels ---------------------------------------------------------------------------------------
@@ -75,9 +77,10 @@ def labels(bars: DataFrame, *, threshold: float = 0.02, stop_loss: float | None
     pivots = pivots.withColumns({"next_value": F.lead("value").over(own), "event_ends": F.lead("datetime").over(own), "nth": F.row_number().over(own)})
     second = pivots.where("nth = 2").select("symbol", F.col("datetime").alias("second"))
     at = bars.join(pivots.drop("value", "kind", "nth"), ["symbol", "datetime"], "left")
-    last = lambda c: F.last(c, ignorenulls=True).over(_BARS)
+    last = lambda c: F.last(c, ignorenulls=True).over(_bars())
     at = at.withColumns({"target": last("next_value"), "event_ends": last("event_ends")}).withColumn("label", safe.ratio(F.col("target"), F.col("close")) - 1)
     if stop_loss is not None:
+        at = at.where(F.col("datetime") < F.col("event_ends"))
         # Within an event, a bar's worst later bar is a running extreme from the event's end backwards.
         back = Window.partitionBy("symbol", "event_ends").orderBy(F.col("datetime").desc()).rowsBetween(Window.unboundedPreceding, -1)
         ends = bars.select("symbol", F.col("datetime").alias("event_ends"), F.struct("low", F.lit(0).alias("k"), F.col("datetime").alias("at")).alias("end_low"), F.struct("high", F.lit(0).alias("k"), F.col("datetime").alias("at")).alias("end_high"))
@@ -96,13 +99,13 @@ def labels(bars: DataFrame, *, threshold: float = 0.02, stop_loss: float | None
         every = Window.partitionBy("symbol")
         mean, spread = F.avg("label").over(every), 5 * F.stddev_pop("label").over(every)
         at = at.withColumn("label", safe.clip(F.col("label"), mean - spread, mean + spread))
-    at = at.withColumns({"event_starts": F.col("datetime"), "count_index": F.row_number().over(_BARS) - 1})
+    at = at.withColumns({"event_starts": F.col("datetime"), "count_index": F.row_number().over(_bars()) - 1})
     return at.withColumn("label", F.when(F.col("label") > -1, F.log1p("label"))) if log_return else at
 
 
 def forward_returns(bars: DataFrame, first: int, last: int) -> DataFrame:
     """label_i for i in [first, last): close i bars on over close, less 1."""
-    return bars.withColumns({f"label_{i}": safe.ratio(F.lead("close", i).over(_BARS), F.col("close")) - 1 for i in range(first, last)})
+    return bars.withColumns({f"label_{i}": safe.ratio(F.lead("close", i).over(_bars()), F.col("close")) - 1 for i in range(first, last)})
 
 
 def rare_labels_dropped(rows: DataFrame, least: float, classes: int = 2, label: str = "label") -> DataFrame:
@@ -148,7 +151,7 @@ def average_uniqueness(bars: DataFrame, events: DataFrame) -> DataFrame:
 
 def return_weights(bars: DataFrame, events: DataFrame) -> DataFrame:
     """(event_id, weight): absolute sum of log returns over concurrency, scaled to sum to the number of events."""
-    returns = bars.select("symbol", "datetime", F.ln(F.col("close") / F.lag("close").over(_BARS)).alias("r"))
+    returns = bars.select("symbol", "datetime", F.ln(F.col("close") / F.lag("close").over(_bars())).alias("r"))
     shared = returns.join(concurrency(bars, events), ["symbol", "datetime"]).withColumn("v", safe.ratio(F.col("r"), F.nullif("n_events", F.lit(0))))
     raw = _over_events(shared, events, "v").select("event_id", F.abs("total").alias("raw"))
     total = raw.agg(F.sum("raw").alias("s"), F.count("*").alias("n"))  # one row

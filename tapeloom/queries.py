@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-TOPICS = ("factors",)
+TOPICS = ("factors", "bars", "features", "events")
 
 
 def _modules() -> list:
