@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-TOPICS = ("factors", "bars", "features", "events")
+TOPICS = ("factors", "bars", "features", "events", "markets", "alphas")
 
 
 def _modules() -> list:
