@@ -11,29 +11,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeloom.llm import line_runs, mixing, quality_rules, simhash_vp, spm_bpe
-from tapeloom.llm.common import written
+from tapeloom.llm.common import pick, written
 
+#: The columns that stages hand on; others are left behind.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 RANKS = "byte_bpe_50k.tiktoken"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a quality rule rejects go."""
-    return quality_rules.filtered(docs)
+    return quality_rules.filtered(pick(docs, *COLUMNS))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in many documents stay only in the largest doc_id; n_chars follows the text."""
-    return line_runs.without_frequent_lines(docs, batches=4)
+    return line_runs.without_frequent_lines(pick(docs, *COLUMNS), batches=4)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return simhash_vp.first_of_each(docs)
+    return simhash_vp.first_of_each(pick(docs, *COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources come near their target words: documents go, stay, or are repeated."""
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(pick(docs, *COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
