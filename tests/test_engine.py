@@ -79,7 +79,7 @@ def test_microstructure_published_numbers(spark):
 
 
 def test_entropies_published_numbers(spark):
-    p = spark.createDataFrame([("a", i, v) for i, v in enumerate([1.0, 1, 1, 0, 0, 0, 0, 1])], "symbol string, datetime int, x double")
+    p = spark.createDataFrame([("a", i, v) for i, v in enumerate([1.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0])], "symbol string, datetime int, x double")
     at = p.withColumn("c", features.codes(F.col("x"), 2, 0.0, 1.0)).withColumn("m", features.message(F.col("c"), 8))
     r = at.select(
         "m", features.shannon_entropy(F.col("m")).alias("s"), *(features.plugin_entropy(F.col("m"), w).alias(f"p{w}") for w in (1, 2, 3)), *(features.konto_entropy(w)(F.col("m")).alias(f"k{w}") for w in (0, 1, 2)),
@@ -109,7 +109,7 @@ def test_bars_conserve_volume_and_value(spark):
 
 
 def test_recurrences_against_plain_loops(spark):
-    closes = [100.0, 101, 99, 104, 108, 97, 95, 99, 103]
+    closes = [100.0, 101.0, 99.0, 104.0, 108.0, 97.0, 95.0, 99.0, 103.0]
     p = spark.createDataFrame([("a", i, c) for i, c in enumerate(closes)], "symbol string, datetime int, close double")
     found = [r["ema"] for r in recurrences.run(p, recurrences.ema(3)).orderBy("datetime").collect()]
     for i, v in enumerate(found):
