@@ -388,10 +388,11 @@ def test_license_base_places_against_brute_force(spark, awkward):
 
 def test_license_edits_and_spans():
     s = license_search.Search()
-    found = s.scan("Intro words.\nReleesed under teh MIT-License, enjoy")
+    found = s.scan("Intro words.\nReleesed under tha MIT-License, enjoy")
     assert found["labels"] == "mit" and found["n_base"] == 0 and 0.8 < found["score"] < 1
     (span,) = found["spans"]
-    assert span["first"] == 2 and span["edits"] <= 3
+    assert (span["first"], span["last"], span["edits"]) == (2, 6, 2)
+    assert s.scan("Releesed under teh MIT-License")["labels"] == ""  # three edits are one too many
     exact = s.scan("This work is licensed under the GNU General Public License, version 3.")
     assert exact["labels"] == "gpl-3" and exact["score"] == 1.0 and exact["spans"][0]["edits"] == 0
     assert s.scan("Licensed under CC BY-NC 4.0.")["base_labels"] == "cc-by-nc"
