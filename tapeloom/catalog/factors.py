@@ -60,8 +60,8 @@ OPS: dict[str, tuple[str, str]] = {
 
 
 def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    # A residual is a small difference of large numbers: whole units are what both engines agree on.
-    tidy = (lambda x: F.round(x, 3)) if text.startswith("Resi") else sql.single
+    # A residual is a small difference of large numbers: thousandths are what both engines agree on, and zero has no sign.
+    tidy = (lambda x: F.round(x, 3) + 0.0) if text.startswith("Resi") else sql.single
     return lambda spark, sf_dir: factor(market.panel(spark, sf_dir), text).select("symbol", "datetime", tidy(F.col("factor")).alias("factor"))
 
 
@@ -87,5 +87,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     made = {k: _sql(v) for k, (_, v) in OPS.items() if v}
-    made["op_resi"] = made["op_resi"].replace(")::DOUBLE)::FLOAT::DOUBLE", "").replace("SELECT symbol, datetime, (", "SELECT symbol, datetime, round((", 1).replace(")::FLOAT::DOUBLE AS factor", "), 3) AS factor")
+    made["op_resi"] = made["op_resi"].replace(")::DOUBLE)::FLOAT::DOUBLE", "").replace("SELECT symbol, datetime, (", "SELECT symbol, datetime, round((", 1).replace(")::FLOAT::DOUBLE AS factor", "), 3) + 0.0 AS factor")
     return made | {"op_flagship": _RETURN, "op_nested": _NESTED}
