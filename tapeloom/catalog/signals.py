@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom import sql
 from tapeloom.functions import safe
-from tapeloom.operators import events, features, lines, signals, structure
+from tapeloom.operators import events, features, lines, recurrences, signals, structure
 from tapeloom.plans.registry import Panel
 from tapeloom.sources import market
 
@@ -98,6 +98,9 @@ _QUERIES = {
     "chan_zone_ratio": _panel(lambda p: structure.zone_ratio(structure.structure(p, "any").where("kind = 'zone'"))),
     "sig_crossover": _panel(lambda p: signals.crossovers(_means(p), "fast", "slow", 12)), "sig_pair_residual": _panel(lambda p: signals.pair_residuals(p, _base(p), 6)),
     "sig_market_structure": _panel(lambda p: signals.market_structure(p, 2)), "sig_equal_swings": _panel(lambda p: signals.equal_swings(features.peaks(p, 2), F.col("price") * 0.01)),
+    "feat_macd": _panel(lambda p: recurrences.run(p, recurrences.macd(3, 6, 4))), "feat_vidya": _panel(lambda p: recurrences.run(p, recurrences.vidya(N))),
+    "feat_kvo": _panel(lambda p: recurrences.run(p, recurrences.kvo(3, 6))),
+    "line_macd_crossings": _panel(lambda p: lines.crossings_within(spans(p, "year"), recurrences.run(p, recurrences.macd(3, 6, 4)), "dif", "dem")),
     "feat_oscillators": _panel(lambda p: signals.oscillators(p, N)), "quote_spreads": _ticks(lambda t: signals.spreads(_l1(t), 20)),
     "eval_range_breaks": _ticks(lambda t: signals.range_breaks(t.select("symbol", F.date_trunc("day", "ts").alias("datetime")))),
     "eval_in_out": _panel(lambda p: signals.in_out_correlation(_changes(p)(1), "x", "y")), "eval_parameter_grid": _panel(lambda p: signals.parameter_grid(_changes(p), {"period": PERIODS}, "x", "y", least_rows=10)),
@@ -138,6 +141,11 @@ SELECT symbol, id, count(*) FILTER (x1 < z1 AND x > z) AS ups, count(*) FILTER (
     corrs = f"{both.format('early')} AS in_sample, {both.format('NOT early')} AS out_sample"
     full = lambda v, k=N: f"CASE WHEN count(c1) OVER (PARTITION BY symbol ORDER BY datetime ROWS {k - 1} PRECEDING) = {k} THEN {v} END"
     uo = lambda k: f"(sum(bp) OVER w{k} / nullif(sum(tr) OVER w{k}, 0))"
+    # A mean that starts at its first value: the first row has the weight that is left over.
+    mean = lambda x, a: f"(SELECT sum(b.{x} * pow(1 - {a}, a.i - b.i) * CASE WHEN b.i = 1 THEN 1 ELSE {a} END) FROM {{0}} b WHERE b.symbol = a.symbol AND b.i <= a.i)"
+    dem = "(SELECT sum(b.dif * pow(1 - 2 / 5.0::DOUBLE, a.i - b.i) * (2 / 5.0::DOUBLE)) FROM d b WHERE b.symbol = a.symbol AND b.i <= a.i)"
+    macd = f"""{p}, n AS (SELECT *, row_number() OVER {o} AS i FROM panel),
+d AS MATERIALIZED (SELECT symbol, datetime, i, {mean('"close"', '(2 / 4.0::DOUBLE)').format('n')} - {mean('"close"', '(2 / 7.0::DOUBLE)').format('n')} AS dif FROM n a), m AS MATERIALIZED (SELECT symbol, datetime, dif, {dem} AS dem FROM d a)"""
     raw: dict[str, tuple[str, tuple[str, ...]]] = {
         "line_bounds": (
             f'{p}, {year} SELECT b.symbol, id, max(b.high) AS top, min(b.low) AS bottom, sum("close" * volume) / sum(volume) AS vwap, max(open) AS high_open, min(open) AS low_open {bars} GROUP BY b.symbol, id',
@@ -153,6 +161,11 @@ SELECT a.symbol, anchor, sum("close" * volume) FILTER (datetime > anchor) / sum(
 SELECT symbol, id, CASE WHEN before IS NOT NULL AND high >= low THEN high ELSE CASE WHEN before IS NULL THEN high END END AS high, CASE WHEN before IS NULL OR high >= low THEN low END AS low FROM k""", ("high", "low"),
         ),
         "line_crossings": (crossings("open", '"close"'), ()), "line_zero_crossings": (crossings('"close" - open', "0"), ()),
+        "feat_macd": (f"{macd} SELECT *, dif - dem AS histogram FROM m", ("dif", "dem", "histogram")),
+        "line_macd_crossings": (
+            f"""{macd}, {year}, j AS (SELECT b.symbol, id, datetime, dif AS x, dem AS z {bars.replace('panel', 'm')}), k AS (SELECT *, lag(x) OVER i AS x1, lag(z) OVER i AS z1 FROM j WINDOW i AS (PARTITION BY symbol, id ORDER BY datetime))
+SELECT symbol, id, count(*) FILTER (x1 < z1 AND x > z) AS ups, count(*) FILTER (x1 > z1 AND x < z) AS downs FROM k GROUP BY symbol, id""", (),
+        ),
         "line_inside": (f"{inside} SELECT symbol, upper_id, id FROM i", ()),
         "line_levels": (
             f"""{inside}, w AS (SELECT i.symbol, i.upper_id, i.id, sum(abs(b."close" - b.open)) AS total FROM i JOIN panel b ON b.symbol = i.symbol AND b.datetime BETWEEN i.start_at AND i.end_at GROUP BY ALL),

@@ -138,3 +138,55 @@ def order_blocks(n: int, tolerance: float, keep: int = 5) -> Recurrence:
         return (rows, bull, bear), (float(len(bull)), float(len(bear)), last(bull, 0), last(bull, 1), last(bear, 0), last(bear, 1))
 
     return Recurrence(["high", "low", "close", "volume"], ["n_bull", "n_bear", "bull_top", "bull_bottom", "bear_top", "bear_bottom"], step)
+
+
+def macd(fast: int = 12, slow: int = 26, signal: int = 9, column: str = "close") -> Recurrence:
+    """Difference of two exponential means that start at the first value, the mean of that, and what is between them."""
+    a, b, c = (2 / (n + 1) for n in (fast, slow, signal))
+
+    def step(state, row):
+        x = row[0]
+        quick, late, mean = state or (x, x, 0.0)
+        quick, late = quick + a * (x - quick), late + b * (x - late)
+        dif = quick - late
+        mean += c * (dif - mean)
+        return (quick, late, mean), (dif, mean, dif - mean)
+
+    return Recurrence([column], ["dif", "dem", "histogram"], step)
+
+
+def vidya(n: int, column: str = "close") -> Recurrence:
+    """Exponential mean whose weight follows how one-sided the last n moves were; starts at the first value."""
+    a = 2 / (n + 1)
+
+    def step(state, row):
+        x = row[0]
+        moves, prior, mean = state or ((), x, x)
+        moves = (*moves, x - prior)[-n:]
+        total = sum(map(abs, moves))
+        mean += a * (abs(sum(moves)) / total if total else 0.0) * (x - mean)
+        return (moves, x, mean), (mean,)
+
+    return Recurrence([column], ["vidya"], step)
+
+
+def kvo(fast: int = 34, slow: int = 55) -> Recurrence:
+    """Volume oscillator: exponential means of the volume force, which is signed by the typical price's trend.
+
+    The force compares a bar's range with the ranges added up since the trend turned. Zero at first.
+    """
+    a, b = 2 / (fast + 1), 2 / (slow + 1)
+
+    def step(state, row):
+        high, low, close, volume = row
+        price, size = high + low + close, high - low
+        if state is None:
+            return (price, size, 0.0, size, 0.0, 0.0), (0.0,)
+        prior, before, trend, added, quick, late = state
+        now = 1.0 if price > prior else -1.0
+        added = added + size if now == trend else before + size
+        force = volume * abs(2 * size / added - 1) * now * 100 if added else 0.0
+        quick, late = quick + a * (force - quick), late + b * (force - late)
+        return (price, size, now, added, quick, late), (quick - late,)
+
+    return Recurrence(["high", "low", "close", "volume"], ["kvo"], step)

@@ -4,7 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from tapeloom.operators import lines, signals, structure
+from tapeloom.operators import lines, recurrences, signals, structure
 
 BAR = "symbol string, datetime date, open double, high double, low double, close double, volume double"
 
@@ -97,3 +97,30 @@ def test_pair_residuals_of_a_perfect_pair_are_null(spark):
     found = signals.pair_residuals(_bars(spark, [2.0, 4.0, 8.0, 8.0]), base, 1).collect()
     assert len(found) == 3
     assert all(r.residual is None or r.residual < 3 for r in found)
+
+
+def _steps(r, rows):
+    state, out = None, []
+    for row in rows:
+        state, made = r.step(state, row)
+        out.append(made)
+    return out
+
+
+def test_macd_of_a_constant_is_zero_and_of_a_rise_positive():
+    assert _steps(recurrences.macd(), [(5.0,)] * 4) == [(0.0, 0.0, 0.0)] * 4
+    assert all(dif > 0 for dif, _, _ in _steps(recurrences.macd(3, 6, 4), [(float(i),) for i in range(9)])[1:])
+
+
+def test_vidya_stands_still_where_moves_cancel_out():
+    found = [x for (x,) in _steps(recurrences.vidya(2), [(1.0,), (2.0,), (1.0,), (2.0,)])]
+    assert found[2] == found[1] == found[3]
+    assert [x for (x,) in _steps(recurrences.vidya(3), [(0.0,), (2.0,), (4.0,)])] == [0.0, 1.0, 2.5]
+
+
+def test_kvo_by_hand():
+    rows = [(2.0, 1.0, 1.5, 10.0), (4.0, 2.0, 3.0, 10.0), (5.0, 3.0, 4.0, 6.0)]
+    # Forces: 10 * |2 * 2 / 3 - 1| * 100, then 6 * |2 * 2 / 5 - 1| * 100; weights 1 and 1/2.
+    one, two = 1000 / 3, 120.0
+    found = [x for (x,) in _steps(recurrences.kvo(1, 3), rows)]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(found, [0.0, one - one / 2, two - (one / 2 + (two - one / 2) / 2)], strict=True))
