@@ -124,3 +124,20 @@ def test_kvo_by_hand():
     one, two = 1000 / 3, 120.0
     found = [x for (x,) in _steps(recurrences.kvo(1, 3), rows)]
     assert all(abs(a - b) < 1e-9 for a, b in zip(found, [0.0, one - one / 2, two - (one / 2 + (two - one / 2) / 2)], strict=True))
+
+
+def test_fractal_power_of_a_bottom_mirrors_a_top(spark):
+    rows = [("a", date(2024, 1, 1), -9.0, -8.0, -10.0, -9.5, 1.0), ("a", date(2024, 1, 2), -11.0, -10.0, -12.0, -11.5, 1.0), ("a", date(2024, 1, 3), -10.0, -5.0, -10.5, -5.5, 1.0)]
+    bars = spark.createDataFrame(rows, BAR)
+    found = lines.fractal_power(structure.structure(bars, "any"), bars).collect()
+    assert [r.power for r in found] == [5]
+
+
+def test_equal_swings(spark):
+    at = spark.createDataFrame([("a", 1, 1, 10.0), ("a", 2, -1, 5.0), ("a", 3, 1, 10.05), ("a", 4, 1, 12.0)], "symbol string, datetime int, indicator int, price double")
+    assert [r.equal for r in signals.equal_swings(at, F.lit(0.1)).orderBy("datetime").collect()] == [False, False, True, False]
+
+
+def test_meta_label_takes_the_first_of_equals(spark):
+    made = signals.meta_label([F.array(F.lit(0.5), F.lit(0.5)), F.array(F.lit(0.25), F.lit(0.25))], F.lit(0))
+    assert spark.range(1).select(*(c.alias(k) for k, c in made.items())).first().asDict() == {"predict_prob": 0.375, "label": 1}
