@@ -13,11 +13,16 @@ from tapeloom.plans.compile import evaluate as factors
 from tapeloom.sources import market
 
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events from ``orders``: a customer's order opens one of 3 months on the customer's tenth as symbol."""
+def every_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events from all ``orders``: a customer's order opens one of 3 months on one of 50 symbols."""
     o = market.table(spark, sf_dir, "orders")
     start = F.trunc("o_orderdate", "month")
-    return o.where(F.col("o_orderkey") % 5 == 0).select(F.col("o_orderkey").alias("event_id"), F.pmod("o_custkey", F.lit(50)).alias("symbol"), start.alias("event_starts"), F.add_months(start, 3).alias("event_ends"))
+    return o.select(F.col("o_orderkey").alias("event_id"), F.pmod("o_custkey", F.lit(50)).alias("symbol"), start.alias("event_starts"), F.add_months(start, 3).alias("event_ends"))
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of every fifth order only, as the comparison SQL has them."""
+    return every_span(spark, sf_dir).where(F.col("event_id") % 5 == 0)
 
 
 def _weights(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -54,8 +59,7 @@ def _k_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = events.sequential_bootstrap(events.indicators(market.panel(spark, sf_dir), _few(spans(spark, sf_dir))), 20)
-    return spark.createDataFrame(list(enumerate(drawn)), "nth int, event_id long")
+    return events.sequential_bootstrap_by_symbol(events.indicators(market.panel(spark, sf_dir), every_span(spark, sf_dir)), 20)
 
 
 def _overfit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,11 +189,31 @@ def sequential_bootstrap(cells: DataFrame, draws: int, seed: int = 1, replace: b
     if (n := cells.select("event_id").distinct().count()) > most_events:
         raise ValueError(f"{n} events; at most {most_events} can be drawn from in sequence")
     rows = cells.select("event_id", "symbol", "datetime").toPandas()
+    return _drawn(rows, draws, np.random.default_rng(seed), replace)
+
+
+def sequential_bootstrap_by_symbol(cells: DataFrame, draws: int, seed: int = 1, replace: bool = True) -> DataFrame:
+    """(symbol, nth, event_id): a sequential bootstrap for each symbol, one task each.
+
+    Events of different symbols share no bar, so none changes the uniqueness of another's. What a
+    symbol draws depends on the seed and the symbol alone.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        symbol = rows["symbol"].iloc[0]
+        out = _drawn(rows.sort_values(["event_id", "datetime"]), draws, np.random.default_rng([seed, *str(symbol).encode()]), replace)
+        return pd.DataFrame({"symbol": [symbol] * len(out), "nth": range(len(out)), "event_id": out})
+
+    schema = T.StructType([T.StructField("symbol", cells.schema["symbol"].dataType), T.StructField("nth", T.IntegerType()), T.StructField("event_id", T.LongType())])
+    return cells.select("event_id", "symbol", "datetime").groupBy("symbol").applyInPandas(one, schema)
+
+
+def _drawn(rows: pd.DataFrame, draws: int, draw: np.random.Generator, replace: bool) -> list[int]:
     if rows.empty:
         return []
     ids, who = np.unique(rows["event_id"], return_inverse=True)
     bar = rows.groupby(["symbol", "datetime"], sort=True).ngroup().to_numpy()
-    used, draw, out, open_ = np.zeros(bar.max() + 1), np.random.default_rng(seed), [], np.ones(len(ids), bool)
+    used, out, open_ = np.zeros(bar.max() + 1), [], np.ones(len(ids), bool)
     size = np.bincount(who)
     for _ in range(draws if replace else min(draws, len(ids))):
         p = np.where(open_, np.bincount(who, 1 / (1 + used[bar])) / size, 0.0)
