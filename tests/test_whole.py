@@ -36,3 +36,27 @@ def test_bootstrap_draws_from_all_events_of_all_symbols(spark):
             p = np.array([sum(1 / (1 + used[d]) for d in sorted(cells[symbol][k])) / len(cells[symbol][k]) for k in ids])
             assert ids[int(draw.choice(len(ids), p=p / p.sum()))] == i
             used.update(cells[symbol][i])
+
+
+def test_arrivals_of_all_symbols(spark):
+    found = {(r["symbol"], r["side"], r["spread"]): r["intensity"] for r in queries.queries()["quote_arrivals"](spark, SF10).collect()}
+    ticks = defaultdict(list)
+    for r in market.ticks(spark, SF10).select("symbol", F.unix_micros("ts").alias("us"), "price").collect():
+        ticks[r["symbol"]].append((r["us"] / 1000, r["price"]))
+    assert {k[0] for k in found} == set(ticks) and len(found) == 8 * len(ticks) and max(ticks) >= 20
+    day = 86_400_000
+    for symbol in (0, 20, max(ticks)):
+        rows = sorted(ticks[symbol])
+        first, last = rows[0][0], rows[-1][0]
+        slots = [s for s in (first + day * i for i in range(int((last - first) // day) + 1)) if s >= last - 20 * day]
+        for side, spread in itertools.product(("buy", "sell"), (5.0, 20.0, 50.0, 100.0)):
+            waited, filled = 0.0, 0
+            for s in slots:
+                mid = [p for t, p in rows if t <= s][-1]
+                later = [(t, p) for t, p in rows if t > s]
+                crossed = [t for t, p in later if (p + 1 < mid - spread if side == "buy" else p - 1 > mid + spread)]
+                filled += bool(crossed)
+                waited += (crossed[0] if crossed else last) - s
+            assert found[symbol, side, spread] == pytest.approx(day * filled / waited if waited else 0.0, rel=1e-6)
+    for name in ("quote_ak_regression", "quote_ak_pairs"):
+        assert {r["symbol"] for r in queries.queries()[name](spark, SF10).collect()} == set(ticks)
