@@ -63,7 +63,7 @@ def _bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _overfit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = market.panel(spark, sf_dir).where("symbol < 8").select(F.col("datetime").alias("t"), F.col("symbol").alias("trial"), (F.col("close") / F.col("open") - 1).alias("value"))
+    t = market.panel(spark, sf_dir).select(F.col("datetime").alias("t"), F.col("symbol").alias("trial"), (F.col("close") / F.col("open") - 1).alias("value"))
     return spark.createDataFrame([(events.overfit_probability(t, 6),)], "probability double")
 
 

@@ -340,8 +340,9 @@ def overfit_probability(results: DataFrame, partitions: int) -> float:
 
     def ratios(parts) -> np.ndarray:
         n, s, q = cube[:, :, list(parts)].sum(axis=2)
-        mean = s / n
-        return mean / np.sqrt(np.maximum(q / n - mean**2, 1e-30))
+        with np.errstate(invalid="ignore"):
+            mean = s / n
+            return np.where(n > 0, mean / np.sqrt(np.maximum(q / n - mean**2, 1e-30)), -np.inf)  # without a value: last
 
     logits = []
     for inside in itertools.combinations(range(partitions), partitions // 2):

@@ -60,3 +60,43 @@ def test_arrivals_of_all_symbols(spark):
             assert found[symbol, side, spread] == pytest.approx(day * filled / waited if waited else 0.0, rel=1e-6)
     for name in ("quote_ak_regression", "quote_ak_pairs"):
         assert {r["symbol"] for r in queries.queries()[name](spark, SF10).collect()} == set(ticks)
+
+
+def slow_overfit(values, parts):
+    """values: {trial: {t: value}}; ranks of the best trial of each half in the other, smoothed."""
+    times = sorted({t for own in values.values() for t in own})
+    size, rest = divmod(len(times), parts)
+    part = {t: i for i, t in enumerate(times)}
+    cut = [k * size + min(k, rest) for k in range(parts + 1)]
+    part = {t: next(k for k in range(parts) if cut[k] <= i < cut[k + 1]) for t, i in part.items()}
+
+    def ratio(own, chosen):
+        x = [v for t, v in own.items() if part[t] in chosen]
+        if not x:
+            return -math.inf
+        mean = sum(x) / len(x)
+        return mean / math.sqrt(max(sum(v * v for v in x) / len(x) - mean**2, 1e-30))
+
+    logits = []
+    for inside in itertools.combinations(range(parts), parts // 2):
+        a = [ratio(values[k], set(inside)) for k in sorted(values)]
+        b = [ratio(values[k], set(range(parts)) - set(inside)) for k in sorted(values)]
+        w = (sum(v < b[a.index(max(a))] for v in b) + 1) / (len(values) + 1)
+        logits.append(math.log(w / (1 - w)))
+    width = 1.06 * max(float(np.std(logits)), 1e-9) * len(logits) ** -0.2
+    return sum(0.5 * (1 + math.erf(-v / width / math.sqrt(2))) for v in logits) / len(logits)
+
+
+def test_overfit_tries_every_supplier(spark):
+    values = defaultdict(dict)
+    for r in market.panel(spark, SF10).collect():
+        values[r["symbol"]][r["datetime"]] = r["close"] / r["open"] - 1
+    assert len(values) > 8
+    assert queries.queries()["ev_overfit"](spark, SF10).first()[0] == pytest.approx(slow_overfit(values, 6))
+
+
+def test_overfit_with_a_trial_that_is_missing_in_a_half(spark):
+    draw = np.random.default_rng(5)
+    values = {k: {t: float(draw.normal()) for t in range(4 if k == 2 else 12)} for k in range(5)}
+    rows = [(t, k, v) for k, own in values.items() for t, v in own.items()]
+    assert events.overfit_probability(spark.createDataFrame(rows, "t int, trial int, value double"), 6) == pytest.approx(slow_overfit(values, 6))
