@@ -28,7 +28,7 @@ BUCKETS = 1 << 16
 #: Documents to learn from: all up to this many, else about so many, chosen by hash of their id.
 FIT_DOCS = 20_000
 #: Log likelihood that a further language must gain, times the logarithm of the number of words.
-PENALTY, MOST_LANGUAGES, STEPS = 3.0, 4, 12
+PENALTY, STEPS = 3.0, 12
 UNKNOWN = "und"
 
 
@@ -84,7 +84,9 @@ class Model:
         # Where one language has all but a word, no set of more can pay.
         open_ = np.flatnonzero((1 - full.max(axis=1)) * counts > 0.5)
         order = np.argsort(-full, axis=1, kind="stable")
-        for k in range(2, min(MOST_LANGUAGES, logs.shape[1]) + 1):
+        for k in range(2, logs.shape[1] + 1):
+            # No mixture is likelier than the best language of each word; where that can't pay for k, no larger set can.
+            open_ = open_[base[open_] - PENALTY * (k - 1) * np.log(counts[open_] + 1.0) > value[open_]]
             if not len(open_):
                 break
             words = np.concatenate([np.arange(s, s + c) for s, c in zip(starts[open_], counts[open_], strict=True)])

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom import queries
+from tapeloom.llm import language_mixture
 from tapeloom.operators import events
 from tapeloom.sources import market
 
@@ -100,3 +102,16 @@ def test_overfit_with_a_trial_that_is_missing_in_a_half(spark):
     values = {k: {t: float(draw.normal()) for t in range(4 if k == 2 else 12)} for k in range(5)}
     rows = [(t, k, v) for k, own in values.items() for t, v in own.items()]
     assert events.overfit_probability(spark.createDataFrame(rows, "t int, trial int, value double"), 6) == pytest.approx(slow_overfit(values, 6))
+
+
+def test_language_mixture_of_six(spark):
+    draw = random.Random(2)
+    letters = {"aa": "abcd", "bb": "efgh", "cc": "ijkl", "dd": "mnop", "ee": "qrst", "ff": "uvwx"}
+    text = {k: " ".join("".join(draw.choices(v, k=6)) for _ in range(200)) for k, v in letters.items()}
+    rows = [(i, t, k) for i, (k, t) in enumerate(text.items())]
+    model = language_mixture.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for n in (1, 3, 5, 6):
+        docs = spark.createDataFrame([(0, "\n".join(list(text.values())[:n]))], "doc_id long, text string")
+        found = language_mixture.identify(docs, model).first()
+        assert found["mixture"] == pytest.approx({k: 1 / n for k in list(text)[:n]}, abs=0.02)
+        assert found["score"] == pytest.approx(1 / n, abs=0.02)
