@@ -13,18 +13,13 @@ from tapeloom.plans.compile import evaluate as factors
 from tapeloom.sources import market
 
 
-def every_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events from all ``orders``: a customer's order opens one of 3 months on one of 50 symbols."""
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events from ``orders``: a customer's order opens one of 3 months on one of 50 symbols."""
     o = market.table(spark, sf_dir, "orders")
     start = F.trunc("o_orderdate", "month")
     return o.select(F.col("o_orderkey").alias("event_id"), F.pmod("o_custkey", F.lit(50)).alias("symbol"), start.alias("event_starts"), F.add_months(start, 3).alias("event_ends"))
 
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events of every fifth order only, as the comparison SQL has them."""
-    return every_span(spark, sf_dir).where(F.col("event_id") % 5 == 0)
-
-
 def _weights(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: sql.singles(f(market.panel(spark, sf_dir), spans(spark, sf_dir)))
 
@@ -50,16 +45,17 @@ def _decayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql.singles(events.time_decay(u, 0.5).select("event_id", "decay"))
 
 
-def _few(e: DataFrame) -> DataFrame:
-    return e.where("symbol = 0")
+def _k_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.purged_k_fold(spans(spark, sf_dir), 3)
 
 
-def _k_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.purged_k_fold(_few(spans(spark, sf_dir)), 3)
+def _k_fold_embargo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    months = spans(spark, sf_dir).select(F.col("event_ends").alias("datetime")).distinct()
+    return events.purged_k_fold(spans(spark, sf_dir), 3, events.embargo_times(months, 0.05))
 
 
 def _bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.sequential_bootstrap_by_symbol(events.indicators(market.panel(spark, sf_dir), every_span(spark, sf_dir)), 20)
+    return events.sequential_bootstrap_by_symbol(events.indicators(market.panel(spark, sf_dir), spans(spark, sf_dir)), 20)
 
 
 def _overfit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +69,7 @@ _QUERIES = {
     "ev_forward_returns": _panel(lambda p: events.forward_returns(p, 1, 4).select("symbol", "datetime", "label_1", "label_2", "label_3")),
     "ev_concurrency": _weights(lambda p, e: events.concurrency(p, e)), "ev_uniqueness": _weights(events.average_uniqueness), "ev_return_weights": _weights(events.return_weights),
     "ev_indicators": _weights(events.indicators), "ev_label_uniqueness": _weights(events.label_uniqueness), "ev_time_decay": _decayed,
-    "ev_purged_k_fold": _k_fold, "ev_combinatorial_purged": lambda s, d: events.combinatorial_purged(_few(spans(s, d)), 4, 2),
+    "ev_purged_k_fold": _k_fold, "ev_embargoed_k_fold": _k_fold_embargo, "ev_combinatorial_purged": lambda s, d: events.combinatorial_purged(spans(s, d), 4, 2),
     "ev_embargo": lambda s, d: events.embargo_times(market.panel(s, d).select("datetime").distinct(), 0.05), "ev_bootstrap": _bootstrap, "ev_overfit": _overfit,
     "ev_bet_size": _panel(lambda p: p.select("symbol", "datetime", events.bet_size(F.col("low") / F.col("high")).alias("bet"))),
     "ev_sharpe": _panel(lambda p: p.groupBy("symbol").agg(events.sharpe(F.col("close") / F.col("open") - 1).alias("sharpe"), events.negative_mse(F.col("open"), F.col("close")).alias("negative_mse"), events.pinball(F.col("open"), F.col("close"), 0.9).alias("pinball"))),
@@ -93,7 +89,7 @@ _QUERIES = {
 }
 
 _E = """e AS (SELECT o_orderkey AS event_id, o_custkey % 50 AS symbol, date_trunc('month', o_orderdate)::DATE AS event_starts,
-  (date_trunc('month', o_orderdate) + INTERVAL 3 MONTH)::DATE AS event_ends FROM orders WHERE o_orderkey % 5 = 0)"""
+  (date_trunc('month', o_orderdate) + INTERVAL 3 MONTH)::DATE AS event_ends FROM orders)"""
 _O = "(PARTITION BY symbol ORDER BY datetime)"
 _BASE = f"""WITH {sql.PANEL}, {_E}, cells AS (SELECT event_id, p.symbol, datetime FROM panel p JOIN e ON p.symbol = e.symbol AND datetime BETWEEN event_starts AND event_ends),
 n AS (SELECT symbol, datetime, count(*) AS n FROM cells GROUP BY ALL),
@@ -117,7 +113,7 @@ def _bounds(low: str, high: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     day = "OVER (PARTITION BY datetime)"
-    few = f"WITH {_E}, o AS (SELECT *, row_number() OVER (ORDER BY event_starts, event_id) - 1 AS i, count(*) OVER () AS n FROM e WHERE symbol = 0)"
+    few = f"WITH {_E}, o AS (SELECT *, row_number() OVER (ORDER BY event_starts, event_id) - 1 AS i, count(*) OVER () AS n FROM e)"
     fold = f"{few}, d AS (SELECT *, CASE WHEN i < (n % 3) * (n // 3 + 1) THEN i // (n // 3 + 1) ELSE n % 3 + (i - (n % 3) * (n // 3 + 1)) // (n // 3) END::INT AS fold FROM o)"
     combos = "c AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS combination, a, b FROM (SELECT unnest([0, 1, 2, 3]) AS a), (SELECT unnest([0, 1, 2, 3]) AS b) WHERE a < b)"
     groups = [f"group_{g}" for g in range(1, 6)]
@@ -140,12 +136,19 @@ SELECT event_id, raw * count(*) OVER () / sum(raw) OVER () AS weight FROM s""",
         ),
         "ev_purged_k_fold": (
             f"{fold} SELECT fold, event_id, 'test' AS part FROM d UNION ALL SELECT k::INT, event_id, 'train' FROM d a, (SELECT unnest([0, 1, 2]) AS k) WHERE a.fold <> k "
-            "AND NOT EXISTS (SELECT 1 FROM d b WHERE b.fold = k AND a.event_starts <= b.event_ends AND b.event_starts <= a.event_ends)", (),
+            "AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT fold, event_starts, event_ends FROM d) b WHERE b.fold = k AND a.event_starts <= b.event_ends AND b.event_starts <= a.event_ends)", (),
+        ),
+        "ev_embargoed_k_fold": (
+            f"{fold}, t AS (SELECT DISTINCT event_ends FROM e), k AS (SELECT event_ends, row_number() OVER (ORDER BY event_ends) AS i, count(*) OVER () AS n, max(event_ends) OVER () AS z FROM t), "
+            "g AS (SELECT a.event_ends, coalesce(b.event_ends, a.z) AS embargo_ends FROM k a LEFT JOIN k b ON b.i = a.i + floor(a.n * 0.05)), "
+            "x AS (SELECT DISTINCT fold, event_starts, embargo_ends FROM d JOIN g USING (event_ends)) "
+            "SELECT fold, event_id, 'test' AS part FROM d UNION ALL SELECT k::INT, event_id, 'train' FROM d a, (SELECT unnest([0, 1, 2]) AS k) WHERE a.fold <> k "
+            "AND NOT EXISTS (SELECT 1 FROM x b WHERE b.fold = k AND a.event_starts <= b.embargo_ends AND b.event_starts <= a.event_ends)", (),
         ),
         "ev_combinatorial_purged": (
             f"{few}, d AS (SELECT *, (i // (n // 4))::INT AS fold FROM o WHERE i < n // 4 * 4), {combos} "
             "SELECT combination::INT AS combination, event_id, 'test' AS part FROM c, d WHERE fold IN (a, b) UNION ALL SELECT combination::INT, x.event_id, 'train' FROM c, d x WHERE x.fold NOT IN (a, b) "
-            "AND NOT EXISTS (SELECT 1 FROM d y WHERE y.fold IN (a, b) AND x.event_starts <= y.event_ends AND y.event_starts <= x.event_ends)", (),
+            "AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT fold, event_starts, event_ends FROM d) y WHERE y.fold IN (a, b) AND x.event_starts <= y.event_ends AND y.event_starts <= x.event_ends)", (),
         ),
         "ev_embargo": (
             f"WITH {sql.PANEL}, t AS (SELECT DISTINCT datetime FROM panel), k AS (SELECT *, row_number() OVER (ORDER BY datetime) AS i, count(*) OVER () AS n, max(datetime) OVER () AS z FROM t) "

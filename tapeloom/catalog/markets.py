@@ -44,13 +44,15 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = market.ticks(spark, sf_dir)
-    left = t.where("trade_id % 3 = 0").select("symbol", "ts", "trade_id")
-    right = t.where("trade_id % 3 = 1").select("symbol", "ts", "price", "quantity")
+    left = t.where("buyer_maker").select("symbol", "ts", "trade_id")
+    right = t.where("NOT buyer_maker").select("symbol", "ts", "price", "quantity")
     return sql.singles(joins.as_of(left, right, "ts", ["symbol"], ["price", "quantity"]))
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spans(spark, sf_dir).where("symbol < 5").withColumnRenamed("event_id", "id")
+    """Orders of one customer whose spans overlap."""
+    start = F.trunc("o_orderdate", "month")
+    e = market.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("symbol"), start.alias("event_starts"), F.add_months(start, 3).alias("event_ends"))
     return joins.overlaps(e, e, "event_starts", "event_ends", ["symbol"]).where("a_id < b_id")
 
 
@@ -115,7 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     p, t, o = f"WITH {sql.PANEL}", f"WITH {sql.TICKS}", "(PARTITION BY symbol ORDER BY datetime)"
     e = """e AS (SELECT o_orderkey AS event_id, o_custkey % 50 AS symbol, date_trunc('month', o_orderdate)::DATE AS event_starts,
-  (date_trunc('month', o_orderdate) + INTERVAL 3 MONTH)::DATE AS event_ends FROM orders WHERE o_orderkey % 5 = 0)"""
+  (date_trunc('month', o_orderdate) + INTERVAL 3 MONTH)::DATE AS event_ends FROM orders)"""
     vwap = "coalesce(sum(price * quantity) / nullif(sum(quantity), 0), 0)"
     imbalance = "coalesce((sum(CASE WHEN buyer_maker THEN -quantity ELSE quantity END)) / nullif(sum(quantity), 0), 0)"
     tumbling = f"{t} SELECT symbol, date_trunc('day', ts)::TIMESTAMP AS start, {vwap} AS vwap, {imbalance} AS imbalance FROM ticks GROUP BY ALL"
@@ -136,9 +138,9 @@ v AS (SELECT symbol, CASE WHEN gk >= 0 THEN sqrt(gk) END AS gk, parkinson, class
     half = lambda a, k, sign: f"ln(1 + 0.1::DOUBLE / {k}) / 0.1::DOUBLE + 0.5::DOUBLE * sqrt((s / 1000) ** 2 * 0.1::DOUBLE / (2 * {k} * {a}) * pow(1 + 0.1::DOUBLE / {k}, 1 + {k} / 0.1::DOUBLE))"
     raw: dict[str, tuple[str, tuple[str, ...]]] = {
         "join_as_of": (
-            f"{t} SELECT l.symbol, l.ts, l.trade_id, r.price, r.quantity FROM (SELECT * FROM ticks WHERE trade_id % 3 = 0) l ASOF LEFT JOIN (SELECT * FROM ticks WHERE trade_id % 3 = 1) r ON l.symbol = r.symbol AND l.ts >= r.ts", ("price", "quantity"),
+            f"{t} SELECT l.symbol, l.ts, l.trade_id, r.price, r.quantity FROM (SELECT * FROM ticks WHERE buyer_maker) l ASOF LEFT JOIN (SELECT * FROM ticks WHERE NOT buyer_maker) r ON l.symbol = r.symbol AND l.ts >= r.ts", ("price", "quantity"),
         ),
-        "join_overlaps": (f"WITH {e} SELECT a.symbol, a.event_id AS a_id, b.event_id AS b_id FROM e a JOIN e b ON a.symbol = b.symbol AND a.event_starts <= b.event_ends AND b.event_starts <= a.event_ends AND a.event_id < b.event_id WHERE a.symbol < 5", ()),
+        "join_overlaps": (f"WITH {e.replace(' % 50', '')} SELECT a.symbol, a.event_id AS a_id, b.event_id AS b_id FROM e a JOIN e b ON a.symbol = b.symbol AND a.event_starts <= b.event_ends AND b.event_starts <= a.event_ends AND a.event_id < b.event_id", ()),
         "join_left_shifted": (f'{p} SELECT symbol, datetime, "close", lag(volume) OVER {o} AS volume, lag(open_interest) OVER {o} AS open_interest FROM panel', ('"close"', "volume", "open_interest")),
         "join_point_in_interval": (f"{p}, {e} SELECT event_id, p.symbol, datetime FROM panel p JOIN e ON p.symbol = e.symbol AND datetime BETWEEN event_starts AND event_ends", ()),
         "join_anti": ("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", ()),

@@ -26,6 +26,11 @@ def spans(p: DataFrame, unit: str) -> DataFrame:
     return made.withColumns({"id": F.row_number().over(own), "high": high, "low": low, "up": F.col("end_value") > F.col("start_value")}).drop("u")
 
 
+def finished(p: DataFrame, unit: str) -> DataFrame:
+    """The lines of ``spans`` without each symbol's last, which bars to come may still move."""
+    return spans(p, unit).withColumn("_last", F.max("id").over(Window.partitionBy("symbol"))).where("id < _last").drop("_last")
+
+
 def _shared(p: DataFrame) -> DataFrame:
     own = Window.partitionBy("symbol").orderBy("id")
     before = lambda c: F.lag(c).over(own)
@@ -89,10 +94,10 @@ def _panel(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str],
 
 
 _QUERIES = {
-    "line_bounds": _panel(lambda p: lines.bounds(spans(p, "year"), p, "open")), "line_anchored_vwap": _panel(lambda p: lines.anchored_vwap(spans(p.where("datetime < '1997-01-01'"), "year"), p)),
+    "line_bounds": _panel(lambda p: lines.bounds(spans(p, "year"), p, "open")), "line_anchored_vwap": _panel(lambda p: lines.anchored_vwap(finished(p, "year"), p)),
     "line_angle": _panel(lambda p: spans(p, "year").select("symbol", "id", lines.angle(F.col("start_value"), F.col("end_value"), F.col("n") - 1).alias("angle"))),
     "line_shared": _panel(_shared), "line_crossings": _panel(lambda p: lines.crossings_within(spans(p, "year"), p, "open", "close")),
-    "line_zero_crossings": _panel(lambda p: lines.crossings_within(spans(p, "year"), _moved(p), "move")), "line_channel": _panel(lambda p: lines.channel(spans(p.where("datetime < '1998-01-01'"), "quarter"), p, 6)),
+    "line_zero_crossings": _panel(lambda p: lines.crossings_within(spans(p, "year"), _moved(p), "move")), "line_channel": _panel(lambda p: lines.channel(finished(p, "quarter"), p, 6)),
     "line_inside": _panel(lambda p: lines.inside(spans(p, "year"), spans(p, "quarter")).select("symbol", "upper_id", "id")), "line_levels": _panel(_levels),
     "chan_fractal_power": _panel(_power), "chan_paused": _panel(lambda p: lines.paused(structure.structure(p, "any"), p)),
     "chan_zone_ratio": _panel(lambda p: structure.zone_ratio(structure.structure(p, "any").where("kind = 'zone'"))),
@@ -117,15 +122,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
 
-def _spans(unit: str, name: str, where: str = "true") -> str:
+def _spans(unit: str, name: str) -> str:
     return f"""{name}0 AS (SELECT symbol, date_trunc('{unit}', datetime) AS u, min(datetime) AS start_at, max(datetime) AS end_at, arg_min("close", datetime) AS start_value, arg_max("close", datetime) AS end_value, count(*) AS n
-  FROM panel WHERE {where} GROUP BY ALL),
+  FROM panel GROUP BY ALL),
 {name} AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY u))::INT AS id, greatest(start_value, end_value) AS high, least(start_value, end_value) AS low, end_value > start_value AS up FROM {name}0)"""
 
 
 def oracle_sql() -> dict[str, str]:
     p, o = f"WITH {sql.PANEL}", "(PARTITION BY symbol ORDER BY datetime)"
-    year, quarter, past = _spans("year", "y"), _spans("quarter", "q"), _spans("quarter", "q", "datetime < DATE '1998-01-01'")
+    year, quarter = _spans("year", "y"), _spans("quarter", "q")
+    last = "SELECT * FROM {0} QUALIFY id < max(id) OVER (PARTITION BY symbol)"
     bars = "FROM panel b JOIN y ON b.symbol = y.symbol AND datetime BETWEEN start_at AND end_at"
     inside = f"""{p}, {year}, {quarter}, j AS (SELECT y.symbol, y.id AS upper_id, y.up AS way, q.id, q.up, q.high, q.low, q.start_at, q.end_at FROM y JOIN q ON y.symbol = q.symbol AND q.end_at >= y.start_at AND q.start_at <= y.end_at),
 i AS (SELECT * FROM j QUALIFY id BETWEEN min(CASE WHEN up = way THEN id END) OVER (PARTITION BY symbol, upper_id) AND max(CASE WHEN up = way THEN id END) OVER (PARTITION BY symbol, upper_id))"""
@@ -152,7 +158,7 @@ d AS MATERIALIZED (SELECT symbol, datetime, i, {mean('"close"', '(2 / 4.0::DOUBL
             ("top", "bottom", "vwap", "high_open", "low_open"),
         ),
         "line_anchored_vwap": (
-            f"""{p}, {_spans('year', 'y', "datetime < DATE '1997-01-01'")}, a AS (SELECT symbol, max(end_at) AS anchor FROM y GROUP BY symbol)
+            f"""{p}, {year}, a AS (SELECT symbol, max(end_at) AS anchor FROM ({last.format('y')}) GROUP BY symbol)
 SELECT a.symbol, anchor, sum("close" * volume) FILTER (datetime > anchor) / sum(volume) FILTER (datetime > anchor) AS vwap FROM panel JOIN a ON panel.symbol = a.symbol GROUP BY ALL""", ("vwap",),
         ),
         "line_angle": (f"{p}, {year} SELECT symbol, id, degrees(atan((end_value - start_value) / start_value / nullif(n - 1, 0))) AS angle FROM y", ("angle",)),
@@ -174,9 +180,10 @@ k AS (SELECT i.*, CASE WHEN up THEN i.high > lag(i.high, 2) OVER g AND i.low > l
 SELECT symbol, upper_id, count(*) AS n_lines, max(id) AS last_id, arg_max(coalesce(d, false), id) AS line_divergence FROM k GROUP BY symbol, upper_id""", (),
         ),
         "line_channel": (
-            f"""{p}, {past}, b AS (SELECT symbol, datetime, "close", row_number() OVER {o} AS i, lag("close") OVER {o} AS prior FROM panel),
-e AS (SELECT q.*, b.i FROM (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY id DESC) <= 6 AND count(*) OVER (PARTITION BY symbol) >= 6) q JOIN b ON b.symbol = q.symbol AND b.datetime = q.end_at),
-f AS (SELECT symbol, regr_slope(high, i) FILTER (up) AS us, regr_intercept(high, i) FILTER (up) AS ui, regr_slope(low, i) FILTER (NOT up) AS ds, regr_intercept(low, i) FILTER (NOT up) AS di FROM e GROUP BY symbol),
+            f"""{p}, {quarter}, r AS ({last.format('q')}), b AS (SELECT symbol, datetime, "close", row_number() OVER {o} AS i, lag("close") OVER {o} AS prior FROM panel),
+e AS (SELECT q.*, b.i FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY id DESC) <= 6 AND count(*) OVER (PARTITION BY symbol) >= 6) q JOIN b ON b.symbol = q.symbol AND b.datetime = q.end_at),
+f0 AS (SELECT symbol, regr_slope(high, i) FILTER (up) AS us, regr_intercept(high, i) FILTER (up) AS ui, regr_slope(low, i) FILTER (NOT up) AS ds, regr_intercept(low, i) FILTER (NOT up) AS di FROM e GROUP BY symbol),
+f AS (SELECT symbol, if(isnan(us), NULL, us) AS us, if(isnan(us), NULL, ui) AS ui, if(isnan(ds), NULL, ds) AS ds, if(isnan(ds), NULL, di) AS di FROM f0),
 l AS (SELECT f.*, b.i, b."close" AS c, b.prior, ui + us * b.i AS u, di + ds * b.i AS d FROM f JOIN b ON b.symbol = f.symbol QUALIFY row_number() OVER (PARTITION BY f.symbol ORDER BY datetime DESC) = 1)
 SELECT symbol, us AS up_slope, u AS upper, ds AS down_slope, d AS lower, CASE WHEN us > 0 AND us < ds AND d < u AND prior > d AND c < d THEN -1 WHEN ds < 0 AND ds > us AND d < u AND prior < u AND c > u THEN 1 ELSE 0 END AS signal FROM l""",
             ("up_slope", "upper", "down_slope", "lower"),

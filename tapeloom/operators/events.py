@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.functions import safe
+from tapeloom.operators import order as ordering
 
 
 def _bars() -> WindowSpec:
@@ -175,10 +176,10 @@ def label_uniqueness(bars: DataFrame, events: DataFrame) -> DataFrame:
 
 def time_decay(weights: DataFrame, oldest: float, order: str = "event_starts", value: str = "uniqueness") -> DataFrame:
     """Adds ``decay``: linear in the cumulated value, 1 for the newest; a negative ``oldest`` gives the first part zero."""
-    w = Window.orderBy(order, "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    upto, total = F.sum(value).over(w), F.sum(value).over(Window.partitionBy())
+    total = F.lit(weights.agg(F.sum(value)).first()[0]).cast("double")
+    summed = ordering.running_sum(weights, value, order, "event_id", "_upto")
     slope = safe.ratio(F.lit(1.0 - oldest), total) if oldest >= 0 else safe.ratio(F.lit(1.0), (oldest + 1) * total)
-    return weights.withColumn("decay", F.greatest(F.lit(0.0), 1 - slope * total + slope * upto))
+    return summed.withColumn("decay", F.greatest(F.lit(0.0), 1 - slope * total + slope * F.col("_upto"))).drop("_upto")
 
 
 def sequential_bootstrap(cells: DataFrame, draws: int, seed: int = 1, replace: bool = True, most_events: int = 10_000) -> list[int]:
@@ -230,39 +231,52 @@ def _drawn(rows: pd.DataFrame, draws: int, draw: np.random.Generator, replace: b
 def embargo_times(bars: DataFrame, share: float, time: str = "datetime") -> DataFrame:
     """(datetime, embargo_ends): the bar time a share of all bars later, at most the last."""
     step = int(bars.count() * share)
-    w = Window.orderBy(time)
-    later = F.lead(time, step).over(w) if step else F.col(time)
-    return bars.select(time, F.coalesce(later, F.max(time).over(Window.partitionBy())).alias("embargo_ends"))
+    last = F.lit(bars.agg(F.max(time)).first()[0])
+    at = ordering.numbered(bars.select(time), time)
+    later = at.select((F.col("_i") - step).alias("_i"), F.col(time).alias("_later"))
+    return at.join(later, "_i", "left").select(time, F.coalesce("_later", last).alias("embargo_ends"))
 
 
 def folds(events: DataFrame, n: int, even: bool = False) -> DataFrame:
     """Adds ``fold``: n runs of consecutive events; the first ones get the remainder, or with ``even`` it is left out."""
-    total = events.count()
-    size, rest = divmod(total, n)
-    i = F.row_number().over(Window.orderBy("event_starts", "event_id")) - 1
+    size, rest = divmod(events.count(), n)
+    at, i = ordering.numbered(events, "event_starts", "event_id"), F.col("_i")
     if even:
-        return events.withColumn("_i", i).withColumn("fold", F.floor(F.col("_i") / max(size, 1)).cast("int")).where(F.col("_i") < size * n).drop("_i")
+        return at.withColumn("fold", F.floor(i / max(size, 1)).cast("int")).where(i < size * n).drop("_i")
     cut = rest * (size + 1)
-    fold = F.when(F.col("_i") < cut, F.floor(F.col("_i") / (size + 1))).otherwise(rest + F.floor((F.col("_i") - cut) / max(size, 1)))
-    return events.withColumn("_i", i).withColumn("fold", fold.cast("int")).drop("_i")
+    fold = F.when(i < cut, F.floor(i / (size + 1))).otherwise(rest + F.floor((i - cut) / max(size, 1)))
+    return at.withColumn("fold", fold.cast("int")).drop("_i")
 
 
-def purged(train: DataFrame, test: DataFrame, tolerance: Column | None = None) -> DataFrame:
-    """Training events that overlap no test event: test events are merged into disjoint stretches, and each is looked up as of.
+def touched(dealt: DataFrame, n: int) -> DataFrame:
+    """(event_id, fold, hit): for each event, whether it overlaps an event of fold 0, 1 .. n - 1.
 
-    An event overlaps if the last stretch that starts by its end has not ended before its start.
+    An event overlaps a fold if the latest end (``test_ends``) among the fold's events that start by
+    its own end is not before its start. One running maximum for each fold answers that for all
+    events at once; it goes over ranges of time, and each range starts with the maxima before it.
     """
-    ends = F.col("event_ends") if tolerance is None else tolerance
-    w = Window.orderBy("event_starts", "event_ends").rowsBetween(Window.unboundedPreceding, -1)
-    own = test.select("event_starts", ends.alias("event_ends"))
-    runs = own.withColumn("new", (F.col("event_starts") > F.coalesce(F.max("event_ends").over(w), F.col("event_starts") - F.expr("interval 1 day"))).cast("int"))
-    runs = runs.withColumn("run", F.sum("new").over(Window.orderBy("event_starts", "event_ends").rowsBetween(Window.unboundedPreceding, 0)))
-    merged = runs.groupBy("run").agg(F.min("event_starts").alias("a"), F.max("event_ends").alias("b"))
-    marks = merged.select(F.col("a").alias("t"), F.lit(0).alias("rank"), F.lit(None).cast("bigint").alias("event_id"), F.col("b").alias("stretch_ends"), F.lit(None).cast(train.schema["event_starts"].dataType).alias("event_starts"))
-    marks = marks.union(train.select("event_ends", F.lit(1), "event_id", F.lit(None).cast(train.schema["event_ends"].dataType), "event_starts"))
-    before = F.max("stretch_ends").over(Window.orderBy("t", "rank").rowsBetween(Window.unboundedPreceding, 0))
-    kept = marks.withColumn("before", before).where("rank = 1 AND (before IS NULL OR before < event_starts)").select("event_id")
-    return train.join(kept, "event_id", "left_semi")
+    none = F.lit(None)
+    ends = {g: F.when(F.col("fold") == g, F.col("test_ends")) for g in range(n)}
+    starts = dealt.select(F.col("event_starts").alias("t"), F.lit(0).alias("rank"), none.cast(dealt.schema["event_id"].dataType).alias("event_id"), "fold", "test_ends", none.cast(dealt.schema["event_starts"].dataType).alias("begins"))
+    asked = dealt.select(F.col("event_ends").alias("t"), F.lit(1).alias("rank"), "event_id", "fold", none.cast(dealt.schema["test_ends"].dataType).alias("test_ends"), F.col("event_starts").alias("begins"))
+    ranges = ordering.Ranges(dealt, "event_starts")
+    marks = starts.union(asked)
+    marks = marks.withColumn("_range", ranges.bucket(marks, "t")).withColumns({f"_e{g}": e for g, e in ends.items()})
+    # A row for each range, a column for each fold: the maxima of all earlier ranges.
+    upto = marks.groupBy("_range").agg(*(F.max(f"_e{g}").alias(f"_m{g}") for g in ends))
+    past = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    upto = upto.select("_range", *(F.max(f"_m{g}").over(past).alias(f"_m{g}") for g in ends))
+    own = Window.partitionBy("_range").orderBy("t", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    swept = marks.select("_range", "rank", "event_id", "fold", "begins", *(F.max(f"_e{g}").over(own).alias(f"_e{g}") for g in ends)).where("rank = 1")
+    hit = [F.coalesce(F.greatest(f"_e{g}", f"_m{g}") >= F.col("begins"), F.lit(False)) for g in ends]
+    return swept.join(F.broadcast(upto), "_range").select("event_id", "fold", F.array(*hit).alias("hit"))  # at most 2 x RANGES rows
+
+
+def _parts(hits: DataFrame, tests: list[tuple[int, ...]], name: str) -> DataFrame:
+    """(name, event_id, part) for each set of test folds; events of other folds that overlap one of them are left out."""
+    part = lambda c: F.when(F.col("fold").isin(*c), "test").when(~F.array_contains(F.array(*(F.get("hit", F.lit(g)) for g in c)), True), "train")
+    rows = F.explode(F.array(*(F.struct(F.lit(i).alias(name), part(c).alias("part")) for i, c in enumerate(tests))))
+    return hits.select("event_id", rows.alias("x")).select(f"x.{name}", "event_id", "x.part").where("part IS NOT NULL")
 
 
 def purged_k_fold(events: DataFrame, n: int, embargo: DataFrame | None = None) -> DataFrame:
@@ -271,30 +285,17 @@ def purged_k_fold(events: DataFrame, n: int, embargo: DataFrame | None = None) -
     ``embargo`` maps a test event's end to a later one (datetime, embargo_ends).
     """
     dealt = folds(events, n)
-    if embargo is not None:
-        dealt = dealt.join(embargo.withColumnRenamed("datetime", "event_ends"), "event_ends", "left").withColumn("test_ends", F.coalesce("embargo_ends", "event_ends"))
-    else:
+    if embargo is None:
         dealt = dealt.withColumn("test_ends", F.col("event_ends"))
-    parts = []
-    for k in range(n):
-        test, rest = dealt.where(F.col("fold") == k), dealt.where(F.col("fold") != k)
-        parts.append(test.select(F.lit(k).alias("fold"), "event_id", F.lit("test").alias("part")))
-        parts.append(purged(rest, test, F.col("test_ends")).select(F.lit(k).alias("fold"), "event_id", F.lit("train").alias("part")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    else:
+        dealt = dealt.join(embargo.withColumnRenamed("datetime", "event_ends"), "event_ends", "left").withColumn("test_ends", F.coalesce("embargo_ends", "event_ends"))
+    return _parts(touched(dealt, n), [(k,) for k in range(n)], "fold")
 
 
 def combinatorial_purged(events: DataFrame, groups: int, tested: int) -> DataFrame:
     """(combination, event_id, part) for each choice of ``tested`` of equal groups as the test set."""
-    dealt = folds(events, groups, even=True)
-    out = None
-    for i, combo in enumerate(itertools.combinations(range(groups), tested)):
-        test, rest = dealt.where(F.col("fold").isin(*combo)), dealt.where(~F.col("fold").isin(*combo))
-        both = test.select(F.lit(i).alias("combination"), "event_id", F.lit("test").alias("part")).unionByName(purged(rest, test).select(F.lit(i).alias("combination"), "event_id", F.lit("train").alias("part")))
-        out = both if out is None else out.unionByName(both)
-    return out
+    dealt = folds(events, groups, even=True).withColumn("test_ends", F.col("event_ends"))
+    return _parts(touched(dealt, groups), list(itertools.combinations(range(groups), tested)), "combination")
 
 
 def backtest_paths(groups: int, tested: int) -> list[list[tuple[int, int]]]:

@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom import queries
-from tapeloom.llm import language_mixture
 from tapeloom.operators import events
+from tapeloom.operators import order as ordering
 from tapeloom.sources import market
 
 SF10 = "/root/testdata/sf0.01"
@@ -104,14 +104,38 @@ def test_overfit_with_a_trial_that_is_missing_in_a_half(spark):
     assert events.overfit_probability(spark.createDataFrame(rows, "t int, trial int, value double"), 6) == pytest.approx(slow_overfit(values, 6))
 
 
-def test_language_mixture_of_six(spark):
-    draw = random.Random(2)
-    letters = {"aa": "abcd", "bb": "efgh", "cc": "ijkl", "dd": "mnop", "ee": "qrst", "ff": "uvwx"}
-    text = {k: " ".join("".join(draw.choices(v, k=6)) for _ in range(200)) for k, v in letters.items()}
-    rows = [(i, t, k) for i, (k, t) in enumerate(text.items())]
-    model = language_mixture.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    for n in (1, 3, 5, 6):
-        docs = spark.createDataFrame([(0, "\n".join(list(text.values())[:n]))], "doc_id long, text string")
-        found = language_mixture.identify(docs, model).first()
-        assert found["mixture"] == pytest.approx({k: 1 / n for k in list(text)[:n]}, abs=0.02)
-        assert found["score"] == pytest.approx(1 / n, abs=0.02)
+def test_positions_and_sums_over_heavy_ties(spark):
+    draw = random.Random(4)
+    rows = [(draw.choice([None, 1, 1, 1, 1, draw.randint(0, 400)]), k, draw.random()) for k in range(3000)]
+    df = spark.createDataFrame(rows, "t int, id long, v double").repartition(5)
+    ranges = ordering.Ranges(df, "t", "id", 20)
+    sizes = Counter(r["b"] for r in df.select(ranges.bucket(df).alias("b")).collect())
+    assert len(sizes) >= 15 and max(sizes.values()) <= 600
+    expected = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    found = {r["id"]: (r["_i"], r["upto"]) for r in ordering.running_sum(ordering.numbered(df, "t", "id"), "v", "t", "id").collect()}
+    total = 0.0
+    for i, (_, k, v) in enumerate(expected):
+        total += v
+        assert found[k][0] == i and found[k][1] == pytest.approx(total)
+
+
+def test_folds_purged_of_overlaps_by_brute_force(spark):
+    draw = random.Random(5)
+    rows = [(k, draw.randint(0, 300), draw.choice([0, 3, 60])) for k in range(400)]
+    day = lambda n: F.date_add(F.lit("2020-01-01").cast("date"), F.col(n).cast("int"))
+    df = spark.createDataFrame(rows, "event_id long, a int, n int").select("event_id", day("a").alias("event_starts"), F.date_add(day("a"), F.col("n")).alias("event_ends"))
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]))
+    for n, tested in ((5, 1), (4, 2)):
+        even = tested > 1
+        size, rest = divmod(len(rows), n)
+        fold = [i // size for i in range(len(rows))] if even else [k for k in range(n) for _ in range(size + (k < rest))]
+        expected = set()
+        for c, combo in enumerate(itertools.combinations(range(n), tested)):
+            test = [r for r, f in zip(ordered, fold, strict=True) if f in combo]
+            for r, f in zip(ordered, fold, strict=True):
+                if f in combo:
+                    expected.add((c, r[0], "test"))
+                elif not any(r[1] <= x[1] + x[2] and x[1] <= r[1] + r[2] for x in test):
+                    expected.add((c, r[0], "train"))
+        found = events.combinatorial_purged(df, n, tested) if even else events.purged_k_fold(df, n)
+        assert {tuple(r) for r in found.collect()} == expected
