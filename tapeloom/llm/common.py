@@ -13,6 +13,8 @@ BLANK_CLASS = r"[\x20\x09-\x0D]"
 BLANKS = " \t\n\x0b\x0c\r"
 #: Stands for a missing document id wherever ids are ordered or grouped: before all others.
 NO_ID = -(2**63)
+#: Rows of ids, hashes and numbers (under 100 bytes) that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def pick(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
@@ -35,25 +37,68 @@ def pick(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none, as in tests, one of our own is set.
+    Where the session names none a temporary one serves on a local master, as in tests; on a
+    cluster, whose executors could not read it, that is a ``RuntimeError``.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tapeloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/tapeloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path for a table. The application's tables are deleted when its driver ends."""
+    own = f"{shared_folder(spark).rstrip('/')}/tapeloom/{spark.sparkContext.applicationId}"
+    fs, at = _files(spark, own)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that nothing reads any more."""
+    for path in paths:
+        fs, at = _files(spark, path)
+        fs.delete(at, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read again: cuts lineage, survives executors."""
+    return rewritten(df, name)[0]
+
+
+def rewritten(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``written`` with the table's path, for ``forget``."""
     spark, schema = df.sparkSession, df.schema
     path = table_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path), path
+
+
+def looked_up(many: DataFrame, one: DataFrame, key: str, how: str = "inner", most: int | None = None) -> DataFrame:
+    """``many`` joined (inner, left_semi, left_anti) with ``one``, which has a row for each ``key``.
+
+    ``one`` is broadcast if it has at most ``most`` rows. Else both are shuffled, but for keys that
+    fill over a thousandth of ``many``: at most a thousand, so their rows of ``one`` are broadcast
+    and no task gets all rows of such a key.
+    """
+    most = BROADCAST_ROWS if most is None else most
+    if one.count() <= most:
+        return many.join(F.broadcast(one), key, how)
+    least = many.count() // 1000 + 1
+    heavy = many.groupBy(key).count().where(F.col("count") > least).select(key)
+    rest = many.join(F.broadcast(heavy), key, "left_anti").join(one.hint("merge"), key, how)
+    few = one.join(F.broadcast(heavy), key, "left_semi")
+    return many.join(F.broadcast(heavy), key, "left_semi").join(F.broadcast(few), key, how).select(*rest.columns).union(rest)
 
 
 def words(text: Column) -> Column:

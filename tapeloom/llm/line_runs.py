@@ -1,10 +1,12 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A *run* is a table of distinct line keys, sorted by key hash, with the number of documents that
-hold a key and the largest of their ids. Each batch of documents becomes one run on level 0;
-``FAN_OUT`` runs on a level are merged into one run on the next, so ``b`` batches leave
-O(log b) runs and a key is rewritten O(log b) times. Merging adds counts, because a document
-belongs to one batch. A batch is filtered by a sorted merge anti-join against the runs.
+A *run* is a table of distinct line keys, bucketed and sorted by key hash, with the number of
+documents that hold a key and the largest of their ids. Each batch of documents is counted, and a
+merge anti-join against the runs parts its keys: the unseen ones become a run on level 0, the seen
+ones a table of *updates* beside it, so that a key lies in one run only. ``fan_out`` runs on a
+level are merged into one on the next, and so are their updates; ``b`` batches leave O(log b) runs
+and a key is rewritten O(log b) times. As runs share their buckets and are sorted, the joins and
+merges read them side by side without a shuffle or a sort.
 
 Defined results: a null or empty text is one empty line; a null doc_id counts as one document
 before all others; rows that share a doc_id count as one document and each is filtered; an empty
@@ -14,16 +16,19 @@ table gives an empty result; columns other than those named are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import BLANKS, NO_ID, pick, table_path
+from tapeloom.llm.common import BLANKS, NO_ID, forget, looked_up, pick, table_path, written
 
-MIN_POINTS, MIN_DOCS, FAN_OUT = 40, 5, 4
+MIN_POINTS, MIN_DOCS, FAN_OUT = 40, 5, 3
 _STRIP = BLANKS.encode()
 
 
@@ -57,47 +62,96 @@ def line_keys(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
 class LineRuns:
     """The levelled runs, kept as tables in the shared folder.
 
-    ``levels[i]`` lists the paths of the runs on level i. A failed task only recomputes its part
-    of one write; a run counts once its write has been committed.
+    ``levels[i]`` lists (run, updates) on level i, as names of tables; the first batch has no
+    updates (None). A failed task only recomputes its part of one write; a run counts once its
+    write has been committed. Counts add up because a document belongs to one batch.
     """
 
     def __init__(self, spark: SparkSession, fan_out: int = FAN_OUT):
         self.spark, self.fan_out, self.levels = spark, fan_out, [[]]
-
-    def _write(self, run: DataFrame, level: int) -> None:
-        path = table_path(self.spark, f"line-run-{level}")
-        run.sortWithinPartitions("key").write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
-
-    @staticmethod
-    def merged(run: DataFrame) -> DataFrame:
-        return run.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-
-    def read(self) -> DataFrame | None:
-        """All runs, not yet merged; None before the first batch."""
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.schema("key binary, n_docs long, last_doc long").parquet(*paths) if paths else None
+        self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.paths: dict[str, str] = {}
+
+    @contextmanager
+    def _as_sorted(self) -> Iterator[None]:
+        """Within, tables are read by buckets, those with one file for each as sorted, and never broadcast."""
+        wanted = {
+            "spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
+            "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        }
+        before = {k: self.spark.conf.get(k, None) for k in wanted}
+        for k, v in wanted.items():
+            self.spark.conf.set(k, v)
+        try:
+            yield
+        finally:
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+
+    def _write(self, sums: DataFrame, kind: str) -> str:
+        name = f"line_{kind}_{uuid.uuid4().hex}"
+        self.paths[name] = table_path(self.spark, name)
+        sums.write.bucketBy(self.buckets, "key").sortBy("key").option("path", self.paths[name]).saveAsTable(name)
+        if len(self.spark.table(name).inputFiles()) > self.buckets:
+            raise RuntimeError("a run was not written bucket by bucket, so it may hold a key twice")
+        return name
+
+    def _forget(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+            forget(self.spark, self.paths.pop(name))
+
+    def _merged(self, names: list[str]) -> DataFrame:
+        """One row for each key of the tables, read bucket by bucket.
+
+        The condition always holds: it makes rows of the scans' column batches, as a union of
+        batches (Spark 4.1) puts buckets after each other while its plan has them side by side.
+        """
+        every = reduce(DataFrame.union, [self.spark.table(n).where("n_docs > 0") for n in names])
+        return every.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+
+    def runs(self) -> list[str]:
+        return [run for level in self.levels for run, _ in level]
+
+    def unseen(self, sums: DataFrame) -> DataFrame:
+        """The rows of a counted batch whose key no run holds: a merge anti-join with each run."""
+        for run in self.runs():
+            sums = sums.join(self.spark.table(run).select("key").hint("merge"), "key", "left_anti")
+        return sums
 
     def add(self, keys: DataFrame) -> None:
-        """Adds a batch of (doc_id, key) as a run; merges levels that are full."""
-        run = keys.select("doc_id", "key").distinct().groupBy("key")
-        self._write(run.agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc")), 0)
-        level = 0
-        while len(self.levels[level]) >= self.fan_out:
-            full, self.levels[level] = self.levels[level], []
-            self._write(self.merged(self.spark.read.schema("key binary, n_docs long, last_doc long").parquet(*full)), level + 1)
-            level += 1
-
-    def unseen(self, keys: DataFrame) -> DataFrame:
-        """The rows of a batch whose key no run holds: a merge anti-join against the sorted runs."""
-        held = self.read()
-        return keys if held is None else keys.join(held.select("key").hint("merge"), "key", "left_anti").select("doc_id", "key")
+        """Adds a batch of (doc_id, key): unseen keys as a run, counts of the others as updates."""
+        counted = keys.select("doc_id", "key").distinct().groupBy("key").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        with self._as_sorted():
+            batch = self._write(counted, "batch")
+            if not self.runs():
+                self.levels[0].append((batch, None))
+            else:
+                sums = self.spark.table(batch)
+                run = self._write(self.unseen(sums), "run")
+                seen = sums.join(self.spark.table(run).select("key").hint("merge"), "key", "left_anti")
+                self.levels[0].append((run, self._write(seen, "updates")))
+                self._forget(batch)
+            level = 0
+            while len(self.levels[level]) >= self.fan_out:
+                full, self.levels[level] = self.levels[level], []
+                parts = [[t for pair in full if (t := pair[k])] for k in (0, 1)]
+                if level + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[level + 1].append((self._write(self._merged(parts[0]), "run"), self._write(self._merged(parts[1]), "updates") if parts[1] else None))
+                self._forget(*parts[0], *parts[1])
+                level += 1
 
     def frequent(self, min_docs: int = MIN_DOCS) -> DataFrame:
-        """(key, last_doc) of keys in ``min_docs`` documents or more, over all runs."""
-        return self.merged(self.read()).where(F.col("n_docs") >= min_docs).select("key", "last_doc")
+        """(key, last_doc) of keys in ``min_docs`` documents or more, over all runs and updates, as a written table."""
+        with self._as_sorted():
+            held = self._merged([t for level in self.levels for pair in level for t in pair if t])
+            return written(held.where(F.col("n_docs") >= min_docs).select("key", "last_doc"), "frequent-lines")
+
+    def close(self) -> None:
+        """Deletes the runs."""
+        self._forget(*self.paths)
+        self.levels = [[]]
 
 
 def _without(marked: DataFrame, min_points: int, text_out: bool, more: list[str]) -> DataFrame:
@@ -131,8 +185,10 @@ def _marked(docs: DataFrame, doc_id: str, text: str, min_points: int, min_docs:
     runs = LineRuns(spark)
     for b in range(batches):
         runs.add(keys.where(F.col("batch") == b).select("doc_id", "key"))
-    # The line keys join the frequent ones on the key; what is left is a short list for each document.
-    drops = keys.select("doc_id", "key").join(runs.frequent(min_docs), "key").where(F.col("doc_id") < F.col("last_doc"))
+    frequent = runs.frequent(min_docs)
+    runs.close()
+    # The line keys look up the frequent ones; what is left is a short list for each document.
+    drops = looked_up(keys.select("doc_id", "key"), frequent, "key").where(F.col("doc_id") < F.col("last_doc"))
     drops = drops.groupBy("doc_id").agg(F.collect_set("key").alias("gone")).withColumnRenamed("doc_id", "own")
     return docs.join(drops, F.coalesce(F.col(doc_id), F.lit(NO_ID)) == F.col("own"), "left").drop("own")
 

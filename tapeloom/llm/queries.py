@@ -101,11 +101,11 @@ FROM c
 """
 
 _OP4 = """
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
-l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+WITH d AS (SELECT doc_id, coalesce(doc_id, -9223372036854775807 - 1) AS own, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+l AS (SELECT r, doc_id, own, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
 k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
-m AS (SELECT k.*, f.last IS NOT NULL AND k.doc_id < f.last AS gone FROM k LEFT JOIN f ON k.key = f.key)
+f AS (SELECT key, max(own) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT own) >= 5),
+m AS (SELECT k.*, f.last IS NOT NULL AND k.own < f.last AS gone FROM k LEFT JOIN f ON k.key = f.key)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY r, doc_id

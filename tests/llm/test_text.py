@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm import labelled, language_mixture, license_search, line_runs, mixing, piecewise_hash, quality_rules, quality_trees, queries, simhash_vp, spm_bpe, toxicity_fm
+from tapeloom.llm import common, labelled, language_mixture, license_search, line_runs, mixing, piecewise_hash, quality_rules, quality_trees, queries, simhash_vp, spm_bpe, toxicity_fm
 
 SF1, SF10 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -235,13 +235,42 @@ def test_line_dedup_against_brute_force(spark, awkward, batches):
 
 
 def test_runs_compact_and_filter_new_batches(spark):
-    runs = line_runs.LineRuns(spark, fan_out=2)
+    runs, held, drawn = line_runs.LineRuns(spark, fan_out=2), Counter(), random.Random(3)
     for b in range(5):
-        keys = spark.createDataFrame([(b, f"only{b}".encode()), (b, b"all")], "doc_id long, key binary")
-        assert {bytes(r["key"]) for r in runs.unseen(keys).collect()} == ({f"only{b}".encode()} | (set() if b else {b"all"}))
-        runs.add(keys)
+        keys = [(b * 100 + i, f"key{drawn.randint(0, 60)}".encode()) for i in range(40)] + [(b * 100, b"all"), (b * 100, b"all")]
+        runs.add(spark.createDataFrame(keys, "doc_id long, key binary"))
+        held.update(k for _, k in set(keys))
+        own = [bytes(r["key"]) for run in runs.runs() for r in spark.table(run).collect()]
+        assert sorted(own) == sorted(held)  # every key lies in one run
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert [(bytes(r["key"]), r["last_doc"]) for r in runs.frequent(5).collect()] == [(b"all", 4)]
+    assert {bytes(r["key"]): r["last_doc"] for r in runs.frequent(5).collect()}[b"all"] == 400
+    assert {bytes(r["key"]) for r in runs.frequent(5).collect()} == {k for k, n in held.items() if n >= 5}
+    runs.close()
+
+
+def test_batches_are_anti_joined_with_sorted_runs(spark, awkward, monkeypatch):
+    calls, kinds = [], []
+    unseen = line_runs.LineRuns.unseen
+
+    def watched(self, sums):
+        out = unseen(self, sums)
+        calls.append((len(self.runs()), sums.count(), out.count()))
+        kinds.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(line_runs.LineRuns, "unseen", watched)
+    line_runs.dedup_lines(table(spark, SF1), batches=6).count()
+    assert [n for n, _, _ in calls] == [1, 2, 1, 2, 3]  # each batch but the first, against all runs there are
+    assert sum(before - after for _, before, after in calls) > 0
+    assert all("SortMergeJoin" in p and "LeftAnti" in p and "Exchange" not in p and "Sort [" not in p for p in kinds)
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti"])
+def test_lookups_beyond_the_broadcast_bound(spark, how):
+    many = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(9000)], "row long, key long").repartition(4)
+    one = spark.createDataFrame([(k, -k) for k in range(0, 9000, 2)], "key long, v long")
+    few, split = (common.looked_up(many, one, "key", how, most) for most in (10_000, 10))
+    assert few.columns == split.columns and Counter(map(tuple, few.collect())) == Counter(map(tuple, split.collect()))
 
 
 def slow_measures(text):
@@ -397,13 +426,73 @@ def test_license_edits_and_spans():
     assert exact["labels"] == "gpl-3" and exact["score"] == 1.0 and exact["spans"][0]["edits"] == 0
     assert s.scan("Licensed under CC BY-NC 4.0.")["base_labels"] == "cc-by-nc"
     assert s.scan("nothing to see under the sun, mit ohne license")["labels"] == ""
-    for label, notice in license_search.NOTICES:  # every notice is found with as many edits as allowed
-        edits = min(license_search.MOST_EDITS, len(notice) // license_search.CHARS_PER_EDIT)
-        letters = [i for i, c in enumerate(notice) if c.isalpha() and 0 < i < len(notice) - 1 and notice[i - 1 : i + 2].isalpha()]
-        hit = list(notice)
-        for k in range(edits):
-            hit[letters[len(letters) * (2 * k + 1) // (2 * edits)]] = "q"
-        assert label in s.scan("before " + "".join(hit) + " after")["labels"].split(","), (label, "".join(hit))
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [("licensed under cc by nd 4 0", "cc-by-nd"), ("licensed under cc by nc nd 4 0", "cc-by-nc,cc-by-nc-nd"), ("licensed under the gnu general public license version 4", "gpl"),
+     ("licensed under the gnu lesser general public license version 3", "lgpl-3"), ("licensed under the gnu affero general public license v3", "agpl-3"), ("licensed under cc by 4 0", "cc-by"),
+     ("xlicensed under cc by 4 0", "cc-by"), ("élicensed under cc by 4 0ß", ""), ("licensed under cc by 4 0ß", ""), ("éélicensed under cc by 4 0", ""),
+     ("licensed under cc by 4 1", ""), ("under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 license", "cc-by-nc-sa"), ("licensed under the apache license version 1 0", "")],
+)
+def test_license_labels_of_relatives(text, labels):
+    assert license_search.Search().scan(f"some words {text} and more")["labels"] == labels
+
+
+def slow_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def slow_verified(body):
+    """(label, start of words, end of words, edits) of all runs of words near enough to a notice, its tail after them."""
+    gaps = [i for i, c in enumerate(body) if c == 32]
+    for label, words, tail in license_search.NOTICES:
+        most, words, tail = min(license_search.MOST_EDITS, len(words) // license_search.CHARS_PER_EDIT), words.encode(), f" {tail} ".encode() if tail else b" "
+        for a in gaps:
+            for z in gaps:
+                if abs(z - a - 1 - len(words)) <= most and z > a and body[z : z + len(tail)] == tail and (n := slow_edits(body[a + 1 : z], words)) <= most:
+                    yield label, a + 1, z, n
+
+
+def test_license_labels_against_brute_force():
+    draw, s = random.Random(8), license_search.Search()
+    for _ in range(60):
+        parts = []
+        for _, words, tail in draw.choices(license_search.NOTICES, k=2):
+            hit = list(f"{words} {tail}".strip())
+            for _ in range(draw.randint(0, 5)):
+                i = draw.randrange(len(hit))
+                hit[i : i + draw.randint(0, 1)] = draw.choice(["", "q", " ", "e"])
+            parts += draw.choices(["the", "of", "work", "is", "freely", "licensed"], k=draw.randint(0, 3)) + ["".join(hit)]
+        body, _ = license_search.normal(" ".join(parts))
+        slow = list(slow_verified(body))
+        found = s.verified(body)
+        tails = {(label, words): tail for label, words, tail in license_search.NOTICES}
+        assert tails and {x.label for x in found} == {x[0] for x in slow}
+        for x in found:  # each is one of the slow ones, with the fewest edits of those that it overlaps
+            same = [y for y in slow if y[0] == x.label and y[1] < x.end and y[2] > x.start]
+            assert min(y[3] for y in same) <= x.edits and any((y[1], y[3]) == (x.start, x.edits) for y in same)
+        best = s.spans(body)
+        assert all(a.end <= b.start for a, b in zip(best, best[1:], strict=False))
+        for x in found:
+            assert any(x.start < y.end and y.start < x.end and y.edits / y.notice_chars <= x.edits / x.notice_chars for y in best)
+
+
+def test_license_scan_is_linear_in_notices():
+    import time
+
+    s, took = license_search.Search(), []
+    for n in (1000, 4000):
+        text = "released under the mit licence and some more words here " * n
+        began = time.perf_counter()
+        assert len(s.scan(text)["spans"]) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0]
 
 
 def test_bpe_equals_tiktoken(spark, awkward):
