@@ -2,8 +2,9 @@
 
 A language is a distribution of character trigrams (with word edges). Each word of a document has
 a likelihood under each language; expectation-maximisation finds the proportions of the languages
-among the document's words. The set of languages is the one with the best likelihood less a
-penalty for each language beyond the first. The prediction is the language with most words.
+among the document's words. The set of languages has the best likelihood less a penalty for each
+language beyond the first: from the best single language, one language at a time joins or leaves
+the set, the one that gains most, until none gains. The prediction is the language with most words.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; rows without a lang
 are not learned from; with nothing to learn from every text is ``und``; rows that share a doc_id
@@ -82,24 +83,35 @@ class Model:
         value = single[rows, best]
         full, _ = self._em(likely, starts, counts, np.full(single.shape, 1.0 / single.shape[1]), STEPS)
         # Where one language has all but a word, no set of more can pay.
-        open_ = np.flatnonzero((1 - full.max(axis=1)) * counts > 0.5)
-        order = np.argsort(-full, axis=1, kind="stable")
-        for k in range(2, logs.shape[1] + 1):
-            # No mixture is likelier than the best language of each word; where that can't pay for k, no larger set can.
-            open_ = open_[base[open_] - PENALTY * (k - 1) * np.log(counts[open_] + 1.0) > value[open_]]
-            if not len(open_):
-                break
+        open_, member = np.flatnonzero((1 - full.max(axis=1)) * counts > 0.5), chosen > 0
+        while len(open_):
             words = np.concatenate([np.arange(s, s + c) for s, c in zip(starts[open_], counts[open_], strict=True)])
-            begin = np.concatenate(([0], np.cumsum(counts[open_])[:-1]))
-            some = np.zeros((len(open_), logs.shape[1]))
-            for j in range(k):
-                some[np.arange(len(open_)), order[open_, j]] = full[open_, order[open_, j]] + 1e-6
-            some, gained = self._em(likely[words], begin, counts[open_], some / some.sum(axis=1, keepdims=True), STEPS // 2)
-            worth = gained + base[open_] - PENALTY * (k - 1) * np.log(counts[open_] + 1.0)
-            better = worth > value[open_]
-            chosen[open_[better]], value[open_[better]] = some[better], worth[better]
+            now, n = value[open_].copy(), counts[open_]
+            begin = np.concatenate(([0], np.cumsum(n)[:-1]))
+            share, sets = chosen[open_], member[open_]
+            for j in range(logs.shape[1]):
+                moved = member[open_]
+                moved[:, j] ^= True
+                cost = base[open_] - PENALTY * (moved.sum(axis=1) - 1) * np.log(n + 1.0)
+                # No mixture is likelier than the best language of the set for each word.
+                most = np.log(np.maximum((likely[words] * np.repeat(moved, n, axis=0)).max(axis=1).astype(np.float64), 1e-300))
+                at = np.flatnonzero(moved.any(axis=1) & (np.add.reduceat(most, begin) + cost > now))
+                if len(at):
+                    some, gained = self._fit(likely, starts[open_[at]], n[at], moved[at], full[open_[at]])
+                    better = gained + cost[at] > now[at] + 1e-9
+                    now[at[better]], share[at[better]], sets[at[better]] = (gained + cost[at])[better], some[better], moved[at[better]]
+            gains = now > value[open_]
+            open_, now, share, sets = open_[gains], now[gains], share[gains], sets[gains]
+            value[open_], chosen[open_], member[open_] = now, share, sets
         return chosen
 
+    @classmethod
+    def _fit(cls, likely: np.ndarray, starts: np.ndarray, counts: np.ndarray, sets: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(proportions, log likelihood) of documents' words under the languages of their sets; ``near`` is where the steps begin."""
+        words = np.concatenate([np.arange(s, s + c) for s, c in zip(starts, counts, strict=True)])
+        share = np.where(sets, near + 1e-3, 0.0)
+        return cls._em(likely[words], np.concatenate(([0], np.cumsum(counts)[:-1])), counts, share / share.sum(axis=1, keepdims=True), STEPS)
+
     @staticmethod
     def _em(likely: np.ndarray, starts: np.ndarray, counts: np.ndarray, share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
         """(proportions, log likelihood) after so many steps from the given proportions."""

@@ -78,7 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _OP3 = """
-WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS h, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS size FROM documents),
 s AS (SELECT source, sum(size) AS source_size, count(*) AS n_docs FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),
 l AS (SELECT *, row_number() OVER o AS k,
@@ -88,16 +88,21 @@ f AS (SELECT arg_min(level, k) AS level FROM l WHERE 2 * source_size > level * w
 t AS (SELECT l.source, source_size::BIGINT AS source_size,
         CASE WHEN source_size = 0 THEN 0.0 WHEN f.level IS NULL THEN 2 * source_size ELSE least(2 * source_size, f.level * w) END::DOUBLE AS target
       FROM l, f),
-r AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
-        CASE WHEN t.source_size > 0 THEN least(2.0::DOUBLE, t.target / t.source_size::DOUBLE) ELSE 0.0::DOUBLE END AS e,
-        (('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+o AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE length(bin(size)) END AS own FROM d),
+g AS (SELECT source, own, sum(size)::BIGINT AS words FROM o GROUP BY ALL),
+h AS (SELECT g.*, (target - 2 * coalesce(sum(words) OVER (k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+        / nullif(sum(own * words) OVER (k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)::DOUBLE AS unit
+      FROM g JOIN t ON g.source IS NOT DISTINCT FROM t.source WINDOW k AS (PARTITION BY g.source ORDER BY own DESC)),
+u AS (SELECT source, arg_max(unit, own) FILTER (unit * own < 2) AS unit FROM h GROUP BY source),
+r AS (SELECT o.doc_id, o.source, o.size, t.source_size, t.target,
+        CASE WHEN own = 0 THEN 0.0 WHEN unit IS NULL THEN 2.0 ELSE least(2.0::DOUBLE, unit * own) END::DOUBLE AS e,
+        (('0x' || substr(md5('mix:' || coalesce(o.doc_id::VARCHAR, 'null') || ':' || o.h), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+      FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source JOIN u ON o.source IS NOT DISTINCT FROM u.source),
 q AS (SELECT *, e - floor(e) AS p, sum(floor(e) * size) OVER (PARTITION BY source) AS whole_words,
         (u / (1 - u)) * ((1 - (e - floor(e))) / greatest(e - floor(e), 1e-12::DOUBLE)) AS odds FROM r),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS upto FROM q)
-SELECT doc_id, size::BIGINT AS size, source_size, target, ((floor(e) + CASE WHEN p > 0 AND upto - size / 2.0 <= target - whole_words THEN 1 ELSE 0 END) * size)::BIGINT AS taken,
-  (floor(e) + CASE WHEN p > 0 AND upto - size / 2.0 <= target - whole_words THEN 1 ELSE 0 END)::BIGINT AS copies
-FROM c
+c AS (SELECT *, sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY p = 0, odds / (1 + odds), doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS upto FROM q),
+n AS (SELECT *, (floor(e) + CASE WHEN p > 0 AND upto - size / 2.0 <= target - whole_words THEN 1 ELSE 0 END)::BIGINT AS copies FROM c)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM n
 """
 
 _OP4 = """

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ from tapeloom.llm.common import pick
 
 BUCKETS, TERMS, FACTORS = 1 << 20, 4096, 8
 SHORTEST, LONGEST = 3, 10  # letters of a word's beginnings
+STEPPED = 64  # letters up to which words are hashed side by side; longer ones are hashed one by one
 LEAST_DOCS = 3
 EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.05, 1e-5
 
@@ -36,16 +38,18 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def terms(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, owner) by kind of term: the beginnings of 3, 4 .. 10 letters, and words up to 10 whole."""
+    """(buckets, owner) by kind of term: the beginnings of 3, 4 .. 10 letters, and all words whole."""
     codes, starts, ends, owner = text_arrays.letters(texts)
     size, h = ends - starts, np.full(len(starts), 0x9747B28C, np.uint32)
     at = np.arange(len(starts))
-    for k in range(LONGEST):
+    for k in range(min(STEPPED, int(size.max(initial=0)))):
         h = (h[size[at] > k] if k else h) * np.uint32(0x01000193) + codes[starts[at := at[size[at] > k]] + k]
-        if k + 1 >= SHORTEST:
+        if SHORTEST <= k + 1 <= LONGEST:
             yield _mixed(h), owner[at]
         whole = size[at] == k + 1
         yield _mixed(~h[whole]), owner[at[whole]]
+    at = np.flatnonzero(size > STEPPED)
+    yield _mixed(np.array([xxhash.xxh32_intdigest(codes[starts[i] : ends[i]].tobytes()) for i in at], np.uint32)), owner[at]
 
 
 def present(texts: list[str], kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,7 @@
 """The text operators against brute force, held-out labels and exact round trips, and on awkward rows."""
 
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -100,6 +101,50 @@ def test_language_mixture_finds_both_parts(spark):
     assert abs(share[0].sum() - 1) < 1e-6
 
 
+def test_language_mixture_of_six(spark):
+    draw = random.Random(2)
+    letters = {"aa": "abcd", "bb": "efgh", "cc": "ijkl", "dd": "mnop", "ee": "qrst", "ff": "uvwx"}
+    text = {k: " ".join("".join(draw.choices(v, k=6)) for _ in range(200)) for k, v in letters.items()}
+    rows = [(i, t, k) for i, (k, t) in enumerate(text.items())]
+    model = language_mixture.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for n in (1, 3, 5, 6):
+        docs = spark.createDataFrame([(0, "\n".join(list(text.values())[:n]))], "doc_id long, text string")
+        found = language_mixture.identify(docs, model).first()
+        assert found["mixture"] == pytest.approx({k: 1 / n for k in list(text)[:n]}, abs=0.02)
+        assert found["score"] == pytest.approx(1 / n, abs=0.02)
+
+
+def test_language_set_against_all_sets(spark):
+    docs = table(spark, SF10)
+    model = language_mixture.learn(docs)
+    draw, parts = random.Random(6), defaultdict(list)
+    for r in docs.where("lang IS NOT NULL AND length(text) > 200").orderBy("doc_id").collect():
+        parts[r["lang"]].append(r["text"].split()[:40])
+    n = len(model.languages)
+    sets = [np.array([k >> i & 1 for i in range(n)], bool) for k in range(1, 1 << n)]
+    for _ in range(60):
+        words = [w for lang in draw.choices(sorted(parts), k=draw.randint(1, 4)) for w in draw.choice(parts[lang])[: draw.choice([3, 10, 40])]]
+        text = " ".join(words)
+        share, _ = model.mixtures([text])
+        logs, _ = model.word_logs([text])
+        top = logs.max(axis=1, keepdims=True)
+        likely, count = np.exp(np.maximum(logs - top, -60)), np.array([len(logs)])
+        full, _ = model._em(likely, np.array([0]), count, np.full((1, n), 1.0 / n), language_mixture.STEPS)
+
+        def worth(s, likely=likely, count=count, full=full):
+            gained = model._fit(likely, np.array([0]), count, s[None, :], full)[1][0]
+            return gained - language_mixture.PENALTY * (s.sum() - 1) * np.log(count[0] + 1.0)
+
+        assert worth(share[0] > 0) >= max(map(worth, sets)) - 0.5, text
+
+
+def test_toxicity_terms_are_whole_words():
+    for k in (5, 10, 11, 40, 64, 65, 500):
+        word = "".join(chr(97 + i * i % 26) for i in range(k))
+        one, two = ({int(t) for kind, _ in toxicity_fm.terms([x]) for t in kind} for x in (word + "a", word + "b"))
+        assert one != two and len(one) == len(two) == min(k + 1, 10) - 2 + 1
+
+
 def slow_fingerprint(text):
     w = split_words(ascii_lower(text or ""))
     shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
@@ -182,7 +227,7 @@ def slow_targets(sizes, share=1.5):
 @pytest.mark.parametrize("weighted", [False, True])
 def test_mix_meets_targets(spark, weighted):
     docs = table(spark, SF10).withColumn("w", F.col("doc_id") % 7 + 1)
-    found = mixing.mix(docs, weight_col="w" if weighted else None, bin_rows=16).collect()
+    found = mixing.mix(docs, weight_col="w" if weighted else None, range_rows=2).collect()
     sizes, taken, most = Counter(), Counter(), Counter()
     for r in found:
         sizes[r["source"]] += r["size"]
@@ -192,10 +237,59 @@ def test_mix_meets_targets(spark, weighted):
     expected = slow_targets(sizes)
     for r in found:
         assert r["target"] == pytest.approx(expected[r["source"]])
-    if not weighted:
-        assert all(abs(taken[s] - expected[s]) <= most[s] for s in sizes)
-        same_again = mixing.mix(docs.repartition(7), bin_rows=1000).collect()
-        assert {(r["doc_id"], r["copies"]) for r in found} == {(r["doc_id"], r["copies"]) for r in same_again}
+    assert all(abs(taken[s] - expected[s]) <= most[s] for s in sizes)
+    same_again = mixing.mix(docs.repartition(7), weight_col="w" if weighted else None).collect()
+    assert {(r["doc_id"], r["copies"]) for r in found} == {(r["doc_id"], r["copies"]) for r in same_again}
+
+
+def slow_expectations(rows, weight):
+    """{doc_id: expected copies}: weights share the target, at most two copies, the excess dealt again."""
+    sizes = Counter()
+    for _, source, size in rows:
+        sizes[source] += size
+    goal, out = slow_targets(sizes), {}
+    for source in sizes:
+        own = [(i, size, weight(i, size)) for i, s, size in rows if s == source]
+        left, full = goal[source], set()
+        while True:
+            open_ = [x for x in own if x[0] not in full and x[2] > 0]
+            unit = left / sum(w * n for _, n, w in open_) if open_ else 0.0
+            more = {i for i, _, w in open_ if unit * w >= 2}
+            if not more:
+                break
+            left -= 2 * sum(n for i, n, _ in open_ if i in more)
+            full |= more
+        out |= {i: 2.0 if i in full else unit * w for i, _, w in own}
+    return out
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_mix_includes_by_weight_over_seeds(spark, weighted):
+    texts = [(i, " ".join(["word"] * draw), ("a", "b", None)[i % 3], i // 3 % 7) for i, draw in enumerate(random.Random(9).choices([1, 3, 9, 30, 100, 400], k=900))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string, w int").repartition(3)
+    expected = slow_expectations([(i, s, len(t.split())) for i, t, s, _ in texts], (lambda i, n: i // 3 % 7) if weighted else (lambda i, n: n.bit_length()))
+    total, seeds = Counter(), 6
+    for k in range(seeds):
+        for r in mixing.mix(docs, weight_col="w" if weighted else None, seed=f"s{k}").collect():
+            assert r["copies"] in (int(expected[r["doc_id"]] + 1e-9), int(expected[r["doc_id"]] - 1e-9) + 1, int(expected[r["doc_id"]]))
+            total[r["doc_id"]] += r["copies"]
+    levels = defaultdict(list)
+    for i, e in expected.items():
+        levels[round(e, 6), texts[i][2]].append(total[i] / seeds)
+    assert len(levels) > 6
+    for (e, _), found in levels.items():  # the mean over documents with the same expectation
+        assert abs(np.mean(found) - e) < 4 * 0.5 / math.sqrt(len(found) * seeds) + 0.01, (e, np.mean(found), len(found))
+
+
+def test_mix_of_rows_that_share_an_id(spark):
+    rows = [(None, f"text {i} of many words", "a") for i in range(300)] + [(7, "the same words here", "b")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(docs, range_rows=2).collect()
+    own = [r["copies"] for r in found if r["source"] == "a"]
+    assert len(own) == 300 and abs(sum(r["taken"] for r in found if r["source"] == "a") - found[0]["target"]) <= 5 and len(set(own)) > 1
+    mixed = [tuple(r) for r in mixing.mixed_documents(docs, range_rows=2).collect()]
+    again = [tuple(r) for r in mixing.mixed_documents(docs.repartition(5)).collect()]
+    assert Counter(mixed) == Counter(again) and len(mixed) == sum(r["copies"] for r in found)
 
 
 @pytest.mark.parametrize("op", ["op3_source_mix", "op4_line_dedup", "op5_quality_rules"])
