@@ -23,10 +23,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import pick, written
+from tapeloom.llm.common import forget, looked_up, pick, rewritten, written
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Distinct fingerprints that a shard is meant to hold, and the bounds of the tree's sample.
@@ -94,6 +94,10 @@ def grow(sample: np.ndarray, leaf: int, seed: int = 1) -> list:
     return [*split, grow(sample[inside], leaf, 2 * seed), grow(sample[~inside], leaf, 2 * seed + 1)]
 
 
+def n_shards(tree: list) -> int:
+    return n_shards(tree[2]) + n_shards(tree[3]) if tree else 1
+
+
 def _sides(d: np.ndarray, mu: int, vantage: int, home: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """((goes in, belongs in), (goes out, belongs out)) for points at distance d from a node's vantage point.
 
@@ -181,8 +185,9 @@ def link(points: np.ndarray, home: np.ndarray, seed: int = 1) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, over edges (a, b) with a > b.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014) as joins-free group-bys with
-    minima, until the edges are stars around their smallest node. Each round is a written table.
+    Alternates large-star and small-star steps (Kiveris et al., 2014) as group-bys with minima,
+    until the edges are stars around their smallest node. Each round is a written table; a node
+    with very many edges is spread over tasks by ``looked_up``.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -190,7 +195,7 @@ def components(edges: DataFrame) -> DataFrame:
         if large:
             both = both.union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        linked = both.join(least, "u")
+        linked = looked_up(both, least, "u")
         moved = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")) if large else (
             linked.where(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b"))
             .union(least.where(F.col("u") != F.col("m")).select(F.col("u").alias("a"), F.col("m").alias("b")))
@@ -202,57 +207,54 @@ def components(edges: DataFrame) -> DataFrame:
         ups = ends.groupBy("x.u").agg(F.sum("x.up").alias("ups"), F.min("x.up").alias("least"))
         return ups.where((F.col("ups") > 1) | (F.col("ups") > 0) & (F.col("least") == 0)).isEmpty()
 
-    edges = written(edges.select("a", "b").distinct(), "edges")
+    spark = edges.sparkSession
+    edges, path = rewritten(edges.select("a", "b").distinct(), "edges")
     while not is_stars(edges):
-        edges = written(star(star(edges, True), False), "edges")
+        half, between = rewritten(star(edges, True), "edges")
+        edges, after = rewritten(star(half, False), "edges")
+        forget(spark, path, between)
+        path = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, *, shard_points: int = SHARD_POINTS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row: components of links at 3 bits or fewer."""
-    prints = written(fingerprints(docs), "fingerprints")
-    points = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+def links(points: DataFrame, shard_points: int = SHARD_POINTS) -> DataFrame:
+    """(a, b), a > b: stars of links at 3 bits or fewer among the distinct fingerprints in ``points.fp``."""
     n = points.count()
     size = int(min(max(SAMPLE_LEAST, 4 * n // shard_points), SAMPLE_MOST))
-    sample = np.array([r[0] for r in points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(size).collect()], np.int64).view(np.uint64)
+    # Those whose hashes are lowest: about so many, without a sort.
+    low = int(min(1.0, size / max(n, 1)) * (1 << 31))
+    some = points.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 31)) <= low).collect()
+    sample = np.sort(np.array([r[0] for r in some], np.int64).view(np.uint64))
     tree = grow(sample, max(2, int(shard_points * min(1.0, len(sample) / max(n, 1)))))
+    shards, tree = n_shards(tree), points.sparkSession.sparkContext.broadcast(tree)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False)
-            for shard, at, home in route(tree, fp.view(np.uint64)):
+            for shard, at, home in route(tree.value, fp.view(np.uint64)):
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(fp[at]), pa.array(home)], ["shard", "fp", "home"])
 
     def join(shard: pd.DataFrame) -> pd.DataFrame:
+        shard = shard.sort_values("fp")
         fp = shard["fp"].to_numpy()
         roots = link(fp.view(np.uint64), shard["home"].to_numpy())
         at = np.flatnonzero(roots != np.arange(len(fp)))
         return pd.DataFrame({"x": fp[at], "y": fp[roots[at]]})
 
-    stars = (
-        points.select("fp").mapInArrow(deal, "shard long, fp long, home boolean")
-        .groupBy("shard").applyInPandas(join, "x long, y long")
-    )
-    edges = stars.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    groups = components(edges)
+    # A number of partitions of its own keeps shards, small in bytes but not in work, from being put together.
+    dealt = points.select("fp").mapInArrow(deal, "shard long, fp long, home boolean").repartition(min(4 * shards, 10_000), "shard")
+    return dealt.groupBy("shard").applyInPandas(join, "x long, y long").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, *, shard_points: int = SHARD_POINTS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row: components of links at 3 bits or fewer."""
+    prints = written(fingerprints(docs), "fingerprints")
+    points = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
+    groups = components(links(points, shard_points))
     # From fingerprints to documents: a group's id is its smallest doc_id; a lone fingerprint's is its own.
     rooted = points.join(groups, points["fp"] == groups["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    rooted = written(rooted, "roots")
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = rooted.join(named, "root").select(F.col("fp").alias("own"), "component_id")
-    return prints.join(ids, prints["fp"] == ids["own"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stand for their component: those whose doc_id is the component's id.
-
-    Of rows that share such a doc_id the one with the least text stays. Rows with a null doc_id
-    can't be told apart by id: they stay, once for each text.
-    """
-    ids = near_duplicates(docs, **options)
-    keep = ids.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("own")).distinct()
-    at = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
-    key, text = (F.col(f"_{docs.columns.index(c)}") for c in ("doc_id", "text"))
-    kept = at.join(keep, key == keep["own"], "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(text)))
-    lost = at.where(key.isNull()).withColumn("_n", F.row_number().over(Window.partitionBy(text).orderBy(F.lit(1))))
-    return kept.union(lost).where("_n = 1").drop("_n").toDF(*docs.columns)
+    ids = written(looked_up(rooted.select("fp", "root"), named, "root").select("fp", "component_id"), "ids")
+    return looked_up(prints, ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

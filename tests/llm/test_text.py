@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm import common, labelled, language_mixture, license_search, line_runs, mixing, piecewise_hash, quality_rules, quality_trees, queries, simhash_vp, spm_bpe, toxicity_fm
+from tapeloom.llm import common, labelled, language_mixture, license_search, line_runs, mixing, near_texts, piecewise_hash, quality_rules, quality_trees, queries, simhash_vp, spm_bpe, toxicity_fm
 
 SF1, SF10 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -615,3 +615,89 @@ def test_bpe_odd_texts_and_small_memory(monkeypatch):
         ids = codec.encode(t)
         assert ids == reference.encode_ordinary(t)
         assert codec.decode(ids) == t.encode()
+
+
+def slow_similar(rows):
+    """{doc_id: smallest doc_id connected} over pairs of texts whose sets of five-word shingles are 0.8 alike."""
+    sets, holders = {}, defaultdict(list)
+    for i, text in rows:
+        w = split_words(ascii_lower(text or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+        for x in sets[i]:
+            holders[x].append(i)
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    empty = [i for i, own in sets.items() if not own]
+    for i in empty[1:]:
+        up[root(i)] = root(empty[0])
+    for i, own in sets.items():
+        for j, both in Counter(k for x in own for k in holders[x] if k > i).items():
+            if 5 * both >= 4 * (len(own) + len(sets[j]) - both):
+                up[root(i)] = root(j)
+    least = {}
+    for i in sets:
+        least[root(i)] = min(i, least.get(root(i), i))
+    return {i: least[root(i)] for i in sets}
+
+
+@pytest.mark.parametrize("sf", [SF1, SF10])
+def test_near_texts_against_brute_force(spark, sf):
+    docs = table(spark, sf)
+    expected = slow_similar([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert sorted(r["doc_id"] for r in near_texts.first_of_each(docs).select("doc_id").collect()) == sorted(set(expected.values()))
+
+
+def edited(draw, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        k = draw.randrange(len(words))
+        words[k : k + draw.randint(0, 1)] = [draw.choice(["qq", "zz", "xx"])]
+    return words
+
+
+def test_near_texts_in_blocks_and_shuffled(spark, monkeypatch):
+    draw = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    passage = draw.choices(vocabulary, k=60)
+    texts = []
+    for _ in range(25):  # groups of copies with a few edits, and others that share a passage only
+        base = draw.choices(vocabulary, k=draw.randint(60, 200))
+        texts += [" ".join(edited(draw, base, draw.randint(0, 7))) for _ in range(draw.randint(1, 12))]
+        texts += [" ".join(passage + draw.choices(vocabulary, k=draw.choice([5, 40, 200])))]
+    rows = list(enumerate(texts))
+    draw.shuffle(rows)
+    expected = sorted(set(slow_similar(rows).values()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in near_texts.first_of_each(docs).collect()) == expected
+    assert sorted(r["doc_id"] for r in near_texts.first_of_each(docs, unit=300).collect()) == expected
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 5)
+    assert sorted(r["doc_id"] for r in near_texts.first_of_each(docs, unit=2000).collect()) == expected
+
+
+def test_near_texts_of_awkward_rows(spark, awkward):
+    kept = near_texts.first_of_each(awkward)
+    assert kept.columns == awkward.columns
+    found = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert set(found.values()) == {1}
+    # Wordless rows are one group; repeated rows and null ids stay once; the rest stay.
+    assert {i for i, _ in found} == {1, 4, 5, None, 6, 7, 20, 21, 22, 23, 24, 25, 40, 41, 42}
+    assert [t for i, t in found if i is None] == ["no id here"] and len([1 for i, _ in found if i == 5]) == 2
+    clash = awkward.withColumn("r", F.lit("clash")).withColumn("node", F.lit(1)).withColumn("TEXT_HASH", F.lit(2))
+    assert near_texts.first_of_each(clash).columns == clash.columns and near_texts.first_of_each(clash).count() == kept.count()
+    assert near_texts.first_of_each(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_bands_reach_the_similarity():
+    missed = (1 - near_texts.SIMILARITY**near_texts.ROWS) ** near_texts.BANDS
+    assert missed < 4e-6
+    draw, hits = np.random.default_rng(4), 0
+    for _ in range(300):
+        both, a, b = (draw.integers(0, 2**63, k, dtype=np.uint64) for k in (160, 20, 20))
+        one, two = (near_texts.band_keys(np.unique(np.concatenate((both, x)))) for x in (a, b))
+        hits += len(set(one.tolist()) & set(two.tolist()))
+    assert hits / 300 / near_texts.BANDS == pytest.approx(0.8**near_texts.ROWS, abs=0.03)
