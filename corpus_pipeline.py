@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a
 DataFrame; all but the last return the columns of documents. ``run`` writes each stage's result to
 the shared folder, so a lost executor costs no more than a part of one stage.
+
+Defined results: a null or empty text has no words, so the quality rules reject it; a null doc_id
+comes after all others where one of several copies stays and before them where a line stays with
+the largest; a null source is a source of its own, a null lang is passed through, n_chars is the
+length of the text once the line stage has run; texts of any length are processed whole; rows
+repeated whole count once from the near-copy stage on; an empty table gives an empty result;
+columns other than those of documents are left behind.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import line_runs, mixing, quality_rules, simhash_vp, spm_bpe
+from tapeloom.llm import line_runs, mixing, near_texts, quality_rules, spm_bpe
 from tapeloom.llm.common import pick, written
 
 #: The columns that stages hand on; others are left behind.
@@ -29,8 +36,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return simhash_vp.first_of_each(pick(docs, *COLUMNS))
+    """Of each group of texts with a Jaccard similarity of 0.8 or more over five-word shingles the smallest doc_id stays.
+
+    SimHash fingerprints and their vantage-point tree find the closest pairs; ``near_texts`` says
+    how the others are found, and compares all of them exactly.
+    """
+    return near_texts.first_of_each(pick(docs, *COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
