@@ -7,12 +7,13 @@ share a block size, by edit distance between the signatures.
 
 Defined results: null is the empty text, whose fingerprint is ``3::``; it is like itself (1) and
 unlike others (0); the next document of the only one is itself; rows are ordered by doc_id (null
-first), then text; an empty table gives an empty result; other columns are ignored.
+first), then hash of the text, then text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,40 +109,45 @@ def likeness(x: str, y: str) -> float:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(bucket, doc_id, text, guest): rows dealt by ranges of doc_id, each range with the row that follows it.
+    """(bucket, doc_id, text, guest): rows dealt by ranges of (doc_id, hash of the text), each with the row that follows it.
 
-    Ranges come from approximate quantiles of all ids. The first row of a range is also sent,
-    as a guest, to the range before it (of the first range, to the last), so that every row's
-    successor is in its range. No range is collected: tasks read it as a sorted stream.
+    Ranges come from approximate quantiles of all ids; an id that fills several of them, as null
+    may, is cut by equal parts of the hash. The first row of a range is also sent, as a guest, to
+    the range before it (of the first range, to the last), so that every row's successor is in its
+    range. No range is collected: tasks read it as a sorted stream.
     """
     spark = docs.sparkSession
-    docs = pick(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("own"), "doc_id", "text")
+    docs = pick(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("own"), F.xxhash64("text").alias("h"), "doc_id", "text")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.agg(F.percentile_approx("own", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
-    cuts = sorted(set(cuts)) if n > 1 else []
+    found = docs.agg(F.percentile_approx("own", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
+    cuts = []
+    for own, times in sorted(Counter(found if n > 1 else []).items()):
+        cuts += [(own, (k << 64) // times - (1 << 63)) for k in range(1, times)] + [(own, (1 << 63) - 1)]
 
-    def deal(lo: int, hi: int) -> Column:  # number of cuts below the id, by halving
+    def deal(lo: int, hi: int) -> Column:  # number of cuts below the row, by halving
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(F.col("own") <= cuts[mid], deal(lo, mid)).otherwise(deal(mid + 1, hi))
+        own, h = cuts[mid]
+        below = (F.col("own") < own) | (F.col("own") == own) & (F.col("h") <= h)
+        return F.when(below, deal(lo, mid)).otherwise(deal(mid + 1, hi))
 
     dealt = docs.withColumn("bucket", deal(0, len(cuts)))
-    firsts = sorted((r[0], r[1]) for r in dealt.groupBy("bucket").agg(F.min("own")).collect())
+    firsts = sorted((r["bucket"], r["x"]["own"], r["x"]["h"]) for r in dealt.groupBy("bucket").agg(F.min(F.struct("own", "h")).alias("x")).collect())
     if firsts:
-        before = F.create_map(*(F.lit(x) for i, (_, own) in enumerate(firsts) for x in (own, firsts[i - 1][0])))
+        before = F.create_map(*(F.lit(x) for i, (b, _, _) in enumerate(firsts) for x in (b, firsts[i - 1][0])))
         place = lambda b, guest: F.struct(b.alias("bucket"), F.lit(guest).alias("guest"))
-        once, twice = F.array(place(F.col("bucket"), 0)), F.array(place(F.col("bucket"), 0), place(before[F.col("own")], 1))
-        at = F.when(F.col("own").isin([own for _, own in firsts]), twice).otherwise(once)
-        dealt = dealt.withColumn("at", F.explode(at)).select("own", "doc_id", "text", "at.bucket", "at.guest")
+        once, twice = F.array(place(F.col("bucket"), 0)), F.array(place(F.col("bucket"), 0), place(before[F.col("bucket")], 1))
+        is_first = F.struct("own", "h").isin([F.struct(F.lit(own).alias("own"), F.lit(h).alias("h")) for _, own, h in firsts])
+        dealt = dealt.withColumn("at", F.explode(F.when(is_first, twice).otherwise(once))).select("own", "h", "doc_id", "text", "at.bucket", "at.guest")
     else:
         dealt = dealt.withColumn("guest", F.lit(0))
     # Buckets under keys that hash to partitions of their own, so that no task gets two.
     slots = spark.range(40 * n).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("slot"), F.col("id").cast("int").alias("key")).groupBy("slot").agg(F.min("key").alias("key")).collect()
     keys = {r["slot"]: r["key"] for r in slots}
-    named = F.element_at(F.array(*(F.lit(keys.get(i, 40 * n + i)) for i in range(n))), F.col("bucket") + 1)
+    named = F.element_at(F.array(*(F.lit(keys.get(i, 40 * n + i)) for i in range(len(cuts) + 1))), F.col("bucket") + 1)
     dealt = dealt.withColumn("bucket", named)
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", "own", "text").select("bucket", "doc_id", "text", "guest")
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", "own", "h", "text").select("bucket", "doc_id", "text", "guest")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:

@@ -399,23 +399,108 @@ def test_cascade_order_never_changes_the_verdict(spark, monkeypatch):
     assert good.where("NOT kept AND NOT base_failed").count() == 0
 
 
+def test_cascade_order_is_rejection_per_cost_and_stable(spark):
+    docs = table(spark, SF10)
+    rules = [*quality_rules.base_rules(), *quality_rules.further_rules()]
+    names = [[r.name for r in quality_rules.ordered(docs, rules)] for _ in range(3)]
+    assert names[0] == names[1] == names[2] and names[0][0] == "short"
+    text = [r["text"] or "" for r in docs.collect()]  # fewer than the sample, so all rows are in it
+    share = {"short": np.mean([len(split_words(t)) < 50 for t in text]), "repeats": np.mean([100 * slow_measures(t)[4] > 50 * slow_measures(t)[0] for t in text])}
+    cost = {"short": 1, "repeats": quality_rules.WINDOWS * np.mean([len(split_words(t)) for t in text])}
+    symbols = np.mean([10 * slow_measures(t)[2] > slow_measures(t)[0] for t in text]) / (quality_rules.SPLIT * np.mean([len(t) for t in text]))
+    by_hand = sorted([("short", share["short"] / cost["short"]), ("repeats", share["repeats"] / cost["repeats"]), ("symbols", symbols)], key=lambda x: -x[1])
+    assert [n for n in names[0] if n in dict(by_hand)] == [n for n, _ in by_hand]
+
+
+def test_filter_on_the_verdict_does_not_split_words_again(spark):
+    plan = quality_rules.measure(table(spark, SF1)).where("kept")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(trim(") == 1
+
+
 def quality_rules_measure(spark):
     return quality_rules.measure(table(spark, SF10))
 
 
+def slow_chunks(data, block):
+    """The signature at a block size: byte by byte, a character for each chunk, 64 at most."""
+    out, start = "", 0
+    for i in range(len(data)):
+        window = (bytes(7) + data)[i + 1 : i + 8]
+        h = (int.from_bytes(window, "little") << 8) * 0x9E3779B97F4A7C15 % 2**64 >> 32
+        last = i + 1 == len(data)
+        if last or (h % block == block - 1 and len(out) < 63):
+            out += piecewise_hash.ALPHABET[xxhash.xxh64_intdigest(data[start : i + 1]) % 64]
+            start = i + 1
+    return out
+
+
+def slow_ends(data, block):
+    hashes = [(int.from_bytes((bytes(7) + data)[i + 1 : i + 8], "little") << 8) * 0x9E3779B97F4A7C15 % 2**64 >> 32 for i in range(len(data))]
+    return sum(h % block == block - 1 for h in hashes)
+
+
+def slow_piecewise(text):
+    data, block = (text or "").encode(), 3
+    while block * 64 < len(data):
+        block *= 2
+    while block > 3 and slow_ends(data, block) < 16:
+        block //= 2
+    return block, slow_chunks(data, block), slow_chunks(data, 2 * block)
+
+
+def slow_likeness(x, y):
+    if x == y:
+        return 1.0
+    best = 0.0
+    for i, j in ((1, 1), (2, 2), (1, 2), (2, 1)):
+        a, b = x[i], y[j]
+        if x[0] * i != y[0] * j or not a or not b:
+            continue
+        run = max(1, min(4, len(a) // 2, len(b) // 2))
+        if a == b:
+            best = 1.0
+        elif any(a[k : k + run] in b for k in range(len(a) - run + 1)):
+            row = [0] * (len(b) + 1)
+            for c in a:
+                new = [0]
+                for k, d in enumerate(b):
+                    new.append(row[k] + 1 if c == d else max(new[k], row[k + 1]))
+                row = new
+            best = max(best, 2 * row[-1] / (len(a) + len(b)))
+    return best
+
+
 def test_piecewise_hash_against_brute_force(spark, awkward):
-    for docs in (table(spark, SF1), awkward.where("doc_id <> 5")):
+    for docs in (table(spark, SF1), awkward.where("doc_id NOT IN (5, 40, 41)")):
         rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
         found = {r["doc_id"]: r for r in piecewise_hash.fingerprint_documents(docs).collect()}
         assert len(found) == len(rows)
+        near = []
         for k, (i, text) in enumerate(rows):
             after = rows[(k + 1) % len(rows)][1]
             n = len(text)
             edited = text[: n - n // 2] + after[: n // 2]
             r = found[i]
             assert (r["n_chars"], r["edited_sha256"]) == (n, hashlib.sha256(edited.encode()).hexdigest())
-            assert (r["fingerprint"], r["edited_fingerprint"]) == (piecewise_hash.fingerprint(text), piecewise_hash.fingerprint(edited))
-            assert r["near_next"] == piecewise_hash.likeness(piecewise_hash.fingerprint(text), piecewise_hash.fingerprint(after))
+            own, other, following = (slow_piecewise(x) for x in (text, edited, after))
+            assert (r["fingerprint"], r["edited_fingerprint"]) == (f"{own[0]}:{own[1]}:{own[2]}", f"{other[0]}:{other[1]}:{other[2]}")
+            assert (r["near_edited"], r["near_next"]) == (pytest.approx(slow_likeness(own, other)), pytest.approx(slow_likeness(own, following)))
+            near.append(r["near_edited"])
+        assert max(near) > 0.4
+
+
+def test_piecewise_hash_of_rows_that_share_an_id(spark):
+    draw = random.Random(7)
+    rows = [(None, f"text {draw.random()} of a row without an id") for _ in range(400)] + [(5, "a first row"), (9, "a last row")] + [(None, "the same")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dealt = Counter(r["bucket"] for r in piecewise_hash.with_next(docs).select("bucket").collect())
+    assert len(dealt) == 4 and max(dealt.values()) < 200
+    found = piecewise_hash.fingerprint_documents(docs).collect()
+    assert len(found) == len(rows) and Counter(r["fingerprint"] for r in found) == Counter(piecewise_hash.fingerprint(t) for _, t in rows)
+    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))]
+    edits = [hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][: len(t) // 2]).encode()).hexdigest() for k, t in enumerate(order)]
+    assert Counter(r["edited_sha256"] for r in found) == Counter(edits)
 
 
 def test_piecewise_hash_pieces(spark, monkeypatch):
