@@ -29,7 +29,7 @@ from tapeloom.llm.common import count_words, looked_up, pick, written
 
 WEIGHTS, SHARE, MOST_COPIES, SEED = (5, 2, 1), 1.5, 2, "mix"
 #: Parts that a range of the rank key is cut into, as a power of two, how often, and the rows at which cutting stops.
-CUT_BITS, MOST_CUTS, RANGE_ROWS = 10, 4, 4096
+CUT_BITS, MOST_CUTS, RANGE_ROWS = 10, 4, 256
 #: Weights of documents are whole numbers up to this, so a source has few of them.
 MOST_WEIGHT = 1000
 
