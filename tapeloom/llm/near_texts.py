@@ -9,8 +9,8 @@ probability of 3 in a million, a closer one with less. All links found that way
 only: what they connect is compared by whole shingle sets, and only pairs that reach the
 similarity count.
 
-A connected group of candidates that has more than ``UNIT`` shingles is cut into blocks, and
-every two blocks meet in a task of their own, so no task holds a group of any size.
+A connected group of candidates that has more than ``UNIT`` shingles is cut into blocks of half as
+many, and every two blocks meet in a task of their own, so no task holds a group of any size.
 
 Defined results: letters A-Z are lower-cased; fewer than five words make one shingle; texts
 without words (null and empty too) are alike; of each group one row stays, that with the smallest
@@ -154,12 +154,15 @@ def checked(docs: DataFrame, found: DataFrame, pairs: DataFrame, unit: int = UNI
     # One row stands for all texts of a node.
     stands = looked_up(found.select("node", "n", _row().alias("r")), members, "node").groupBy("node", "component").agg(F.min("r").alias("r"), F.min("n").alias("n"))
     stands = written(stands, "stands")
-    weights = stands.groupBy("component").agg(F.ceil(F.sum("n") / unit).alias("blocks"))
-    placed = looked_up(stands, weights, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))))
+    size = F.sum("n")
+    weights = stands.groupBy("component").agg(F.when(size <= unit, F.lit(1)).otherwise(F.ceil(2 * size / unit)).cast("long").alias("blocks"))
+    placed = looked_up(stands, weights, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     texts = docs.select(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("i"), F.xxhash64("text").alias("h")).alias("r"), "text")
     dealt = looked_up(texts, written(placed.select("r", "node", "component", "block", "blocks"), "placed"), "r")
-    # With one block a group is one unit; with more each pair of blocks is.
-    other = F.explode(F.when(F.col("blocks") <= 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # With one block a group is one unit; with more each two different blocks are, which compares within blocks too.
+    zero = F.lit(0).cast("long")
+    others = F.filter(F.sequence(zero, F.col("blocks") - 1), lambda k: k != F.col("block"))
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(zero)).otherwise(others))
     dealt = dealt.withColumn("other", other).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
