@@ -15,6 +15,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame
 
 from tapeloom.llm.common import pick
 
-#: Pre-tokens whose encoding a worker remembers before it starts anew.
-REMEMBERED = 100_000
+#: Pre-tokens whose encoding a worker remembers before the oldest are forgotten, and those handled at once.
+REMEMBERED, AT_ONCE = 200_000, 20_000
 
 
 def byte_alphabet() -> list[str]:
@@ -74,7 +75,11 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
 
 
 class Codec:
-    """Encodes and decodes texts; remembers the encodings of a bounded number of pre-tokens."""
+    """Encodes and decodes texts; remembers the encodings of a bounded number of pre-tokens.
+
+    Once ``known`` is full it becomes ``before``, whose entries return to ``known`` as they are
+    met; those not met again are gone when it fills the next time.
+    """
 
     def __init__(self, model: bytes, pattern: str):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -82,22 +87,50 @@ class Codec:
         self.table = dict(enumerate(byte_alphabet()))  # as latin-1 text, a byte is its own code point
         back = {c: b for b, c in self.table.items()}
         self.tokens = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(self.model.get_piece_size() - 1)]
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of the text: each match of the pattern is encoded separately."""
-        parts, known, ids = self.split(text), self.known, []
-        for at in range(0, len(parts), REMEMBERED):
-            some = parts[at : at + REMEMBERED]
-            new = [p for p in set(some) if p not in known]
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(some))
+        self.known: dict[str, list[int]] = {}
+        self.before: dict[str, list[int]] = {}
+
+    def _learn(self, parts: list[str]) -> None:
+        """Makes ``known`` hold all of ``parts``."""
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        known, before, new = self.known, self.before, []
+        for p in set(parts):
+            if p not in known:
+                if (ids := before.get(p)) is None:
+                    new.append(p)
+                else:
+                    known[p] = ids
+        if new:
             mapped = [p.encode("utf-8", "replace").decode("latin-1").translate(self.table) for p in new]
             known.update(zip(new, self.model.encode(mapped, num_threads=1), strict=True))
-            for p in some:
-                ids += known[p]
-        return ids
+
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of each text: each match of the pattern is encoded separately."""
+        waiting, count = [], 0
+        for text in texts:
+            waiting.append(self.split(text))
+            count += len(waiting[-1])
+            if count >= AT_ONCE:
+                yield from self._ids(waiting)
+                waiting, count = [], 0
+        yield from self._ids(waiting)
+
+    def _ids(self, several: list[list[str]]) -> Iterator[list[int]]:
+        if len(several) == 1:  # perhaps a very long text
+            parts, ids = several[0], []
+            for at in range(0, len(parts), AT_ONCE):
+                some = parts[at : at + AT_ONCE]
+                self._learn(some)
+                ids += chain.from_iterable(map(self.known.__getitem__, some))
+            yield ids
+            return
+        self._learn(list(chain.from_iterable(several)))
+        for parts in several:
+            yield list(chain.from_iterable(map(self.known.__getitem__, parts)))
+
+    def encode(self, text: str) -> list[int]:
+        return next(self.encode_all([text]))
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of the ids, by the inverse of the byte mapping."""
@@ -118,8 +151,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, ids_out: bool = Tr
         digits = [str(i) for i in range(len(codec.tokens))]
         for b in batches:
             out, counts, named, back = [], [], [], []
-            for text in b.column(1).to_pylist():
-                ids = codec.encode(text or "")
+            for ids in codec.encode_all([text or "" for text in b.column(1).to_pylist()]):
                 if ids_out:
                     out.append(pa.array(ids, pa.int32()))
                 counts.append(len(ids))

@@ -692,6 +692,7 @@ def test_bpe_odd_texts_and_small_memory(monkeypatch):
     ranks = spm_bpe.read_ranks(RANKS)
     reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     monkeypatch.setattr(spm_bpe, "REMEMBERED", 5)
+    monkeypatch.setattr(spm_bpe, "AT_ONCE", 7)
     codec = spm_bpe.Codec(spm_bpe.serialise(ranks), public_tokenizers.PATTERN)
     draw = random.Random(2)
     texts = ["<|endoftext|>", "▁ ▁x", "\x00\x01", "  lead and trail  \n\n\t", "a" * 500, "\U0001f468‍\U0001f469 ­ ", "don't I'LL 12345 你好"]
@@ -700,6 +701,7 @@ def test_bpe_odd_texts_and_small_memory(monkeypatch):
         ids = codec.encode(t)
         assert ids == reference.encode_ordinary(t)
         assert codec.decode(ids) == t.encode()
+    assert list(codec.encode_all(texts)) == [reference.encode_ordinary(t) for t in texts]
 
 
 def slow_similar(rows):
