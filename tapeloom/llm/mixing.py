@@ -10,8 +10,8 @@ What is fixed is the sample's size in words, the source's target less the certai
 document is taken if at least half of it fits. Random numbers are hashes of doc_id and text, so
 reruns agree.
 
-A source's order is never sorted as a whole: sums over 1024 ranges of the rank key find the range
-in which the target falls, that range is cut by 1024 again while it has many rows, and only the
+A source's order is never sorted as a whole: sums over 64 ranges of the rank key find the range
+in which the target falls, that range is cut by 64 again while it has many rows, and only the
 rows of the last one are sorted.
 
 Defined results: null or empty texts have size 0 and are not taken; a null source is a source,
@@ -29,7 +29,7 @@ from tapeloom.llm.common import count_words, looked_up, pick, written
 
 WEIGHTS, SHARE, MOST_COPIES, SEED = (5, 2, 1), 1.5, 2, "mix"
 #: Parts that a range of the rank key is cut into, as a power of two, how often, and the rows at which cutting stops.
-CUT_BITS, MOST_CUTS, RANGE_ROWS = 10, 4, 256
+CUT_BITS, MOST_CUTS, RANGE_ROWS = 6, 7, 256
 #: Weights of documents are whole numbers up to this, so a source has few of them.
 MOST_WEIGHT = 1000
 
