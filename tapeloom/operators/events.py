@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.functions import safe
+from tapeloom.operators import grouped
 from tapeloom.operators import order as ordering
 
 
@@ -63,7 +64,7 @@ def zigzag(bars: DataFrame, threshold: float) -> DataFrame:
         at = [i for i, _, _ in found]
         return rows.loc[at, ["symbol", "datetime"]].assign(value=[v for _, v, _ in found], kind=[k for _, _, k in found])
 
-    return bars.select("symbol", "datetime", "close", "high", "low").groupBy("symbol").applyInPandas(one, schema)
+    return grouped.by_symbol(bars.select("symbol", "datetime", "close", "high", "low"), "symbol", ["datetime"], one, schema)
 
 
 def labels(bars: DataFrame, *, threshold: float = 0.02, stop_loss: float | None = None, cut_label: bool = True, log_return: bool = True) -> DataFrame:
@@ -206,7 +207,7 @@ def sequential_bootstrap_by_symbol(cells: DataFrame, draws: int, seed: int = 1,
         return pd.DataFrame({"symbol": [symbol] * len(out), "nth": range(len(out)), "event_id": out})
 
     schema = T.StructType([T.StructField("symbol", cells.schema["symbol"].dataType), T.StructField("nth", T.IntegerType()), T.StructField("event_id", T.LongType())])
-    return cells.select("event_id", "symbol", "datetime").groupBy("symbol").applyInPandas(one, schema)
+    return grouped.by_symbol(cells.select("event_id", "symbol", "datetime"), "symbol", ["event_id", "datetime"], one, schema)
 
 
 def _drawn(rows: pd.DataFrame, draws: int, draw: np.random.Generator, replace: bool) -> list[int]:

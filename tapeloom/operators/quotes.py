@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.functions import safe
+from tapeloom.operators import grouped
 
 #: Rows of a block, least rows, the divisor of the classical estimate, and the floors of A and k.
 BLOCK, LEAST, CLASSICAL, FLOOR = 30, 32, 10.0, 1e-6
@@ -77,7 +78,7 @@ def arrivals(quotes: DataFrame, spreads: Sequence[float], dt: int, window: int)
         return pd.DataFrame(out, columns=["symbol", "side", "spread", "intensity"])
 
     schema = T.StructType([T.StructField("symbol", quotes.schema["symbol"].dataType), T.StructField("side", T.StringType()), T.StructField("spread", T.DoubleType()), T.StructField("intensity", T.DoubleType())])
-    return quotes.select("symbol", "ts", "bid", "ask").groupBy("symbol").applyInPandas(one, schema)
+    return grouped.by_symbol(quotes.select("symbol", "ts", "bid", "ask"), "symbol", ["ts"], one, schema)
 
 
 def solve_regression(intensities: DataFrame, by: Sequence[str] = ("symbol", "side")) -> DataFrame:

@@ -1,8 +1,7 @@
 """True recurrences: one step function for each, run over a symbol's bars in batch or on a stream.
 
 A step function takes the state so far (None at first) and a row, and returns the new state and
-the values to emit. In batch ``run`` applies it with one call for each symbol; a symbol's bars pass
-in time order. ``tapeloom.streaming.stateful`` runs the same functions with kept state.
+the values to emit. In batch ``run`` applies it along partitions sorted by symbol and time. ``tapeloom.streaming.stateful`` runs the same functions with kept state.
 """
 
 from __future__ import annotations
@@ -11,9 +10,9 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+
+from tapeloom.operators import grouped
 
 
 @dataclass(frozen=True)
@@ -25,18 +24,7 @@ class Recurrence:
 
 def run(bars: DataFrame, r: Recurrence, symbol: str = "symbol", time: str = "datetime") -> DataFrame:
     """(symbol, datetime, outputs) in batch."""
-    kinds = {f.name: f.dataType for f in bars.schema}
-    schema = T.StructType([T.StructField(symbol, kinds[symbol]), T.StructField(time, kinds[time]), *(T.StructField(o, T.DoubleType()) for o in r.outputs)])
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, state, out = rows.sort_values(time, kind="stable"), None, []
-        for values in rows[list(r.inputs)].itertuples(index=False, name=None):
-            state, emitted = r.step(state, values)
-            out.append(emitted)
-        made = pd.DataFrame(out, columns=list(r.outputs), dtype="float64")
-        return pd.concat([rows[[symbol, time]].reset_index(drop=True), made], axis=1)
-
-    return bars.select(symbol, time, *r.inputs).groupBy(symbol).applyInPandas(one, schema)
+    return grouped.stepped(bars, symbol, time, r.inputs, r.outputs, r.step)
 
 
 def ema(n: int, column: str = "close") -> Recurrence:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.functions import safe
+from tapeloom.operators import grouped
 
 #: Least distance of a stroke's ends, in merged bars and in bars, by rule.
 RULES = {"old": (4, 0), "new": (3, 4), "any": (0, 0)}
@@ -194,7 +195,7 @@ def structure(bars: DataFrame, rule: str = "old") -> DataFrame:
         return pd.DataFrame(out, columns=columns)
 
     schema = f"symbol {kinds['symbol']}, " + ROW.format(t=kinds["datetime"])
-    return bars.select("symbol", "datetime", "high", "low").groupBy("symbol").applyInPandas(one, schema)
+    return grouped.by_symbol(bars.select("symbol", "datetime", "high", "low"), "symbol", ["datetime"], one, schema)
 
 
 def line_power(lines: DataFrame, bars: DataFrame, value: str) -> DataFrame:

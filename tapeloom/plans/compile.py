@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeloom.operators import grouped
 from tapeloom.plans.expression import ExpressionError, Node, parse
 from tapeloom.plans.registry import OPERATORS, Operator, Panel
 
@@ -90,18 +91,17 @@ class Plan:
         return op.build(panel, *(self.column(a, panel, at, memo) for a in node.args[: op.columns]), *_numbers(node, op))
 
     def _recursive(self, at: DataFrame, panel: Panel, nodes: list[Node], memo: dict) -> DataFrame:
-        """Functions of a symbol's whole past: one call for each symbol adds all columns of the level."""
+        """Functions of a symbol's whole past: one pass over its rows adds all columns of the level."""
         given = at.withColumns({f"{self.names[n]}_in": self.column(n.args[0], panel, at, memo) for n in nodes})
         schema = T.StructType([*at.schema.fields, *(T.StructField(self.names[n], T.DoubleType()) for n in nodes)])
         calls = [(self.names[n], operator(n).build, _numbers(n, operator(n))) for n in nodes]
 
         def run(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(panel.time, kind="stable")
             for name, build, numbers in calls:
                 rows[name] = build(rows[f"{name}_in"].astype("float64"), *numbers)
             return rows[schema.fieldNames()]
 
-        return given.groupBy(panel.symbol).applyInPandas(run, schema)
+        return grouped.by_symbol(given, panel.symbol, [panel.time], run, schema)
 
 
 def evaluate(frame: DataFrame, factors: Mapping[str, str | Node], panel: Panel | None = None) -> DataFrame:
