@@ -84,6 +84,22 @@ def _divergence(p: DataFrame) -> DataFrame:
     return structure.divergences(structure.line_power(lines, moved, "move"), lines)
 
 
+def _walk(p: DataFrame) -> DataFrame:
+    """Bars whose moves add up: the sample's prices return to their mean, so no zone of theirs is ever left."""
+    at = p.withColumn("move", F.col("close") - F.col("open")).withColumn("walk", F.sum("move").over(_W().rowsBetween(Window.unboundedPreceding, 0)))
+    begin, end = F.col("walk") - F.col("move"), F.col("walk")
+    high, low = F.greatest(begin, end) + F.col("high") - F.greatest("open", "close"), F.least(begin, end) + F.col("low") - F.least("open", "close")
+    return at.select("symbol", "datetime", begin.alias("open"), high.alias("high"), low.alias("low"), end.alias("close"))
+
+
+def _trade_points(p: DataFrame) -> DataFrame:
+    p = _walk(p)
+    made = structure.structure(p, "any")
+    lines = made.where("kind = 'stroke'")
+    power = structure.line_power(lines, p.withColumn("move", F.col("close") - F.col("open")), "move")
+    return structure.trade_points(lines, made.where("kind = 'zone'"), power)
+
+
 _W = lambda: Window.partitionBy("symbol").orderBy("datetime")
 _QUERIES = {
     "join_as_of": _as_of, "join_overlaps": _overlaps,
@@ -106,7 +122,7 @@ _QUERIES = {
     "st_last_trades": _ticks(lambda t: windows.last_trades_imbalance(t, "7 days", 5)),
     "quote_sigma": _ticks(lambda t: quotes.sigmas(_quotes(t))), "quote_sigma_auto": _ticks(lambda t: quotes.sigmas(_quotes(t)).select("symbol", quotes.select_sigma().alias("sigma"))),
     "quote_arrivals": _ticks(_arrivals), "quote_ak_regression": _ticks(lambda t: quotes.solve_regression(_arrivals(t))), "quote_ak_pairs": _ticks(lambda t: quotes.solve_pairs(_arrivals(t))), "quote_half_spreads": _ticks(_halves),
-    **{f"chan_{k}": _chan(k) for k in ("merged", "fractal", "stroke", "segment", "zone", "trade_point")}, "chan_divergence": _panel(_divergence),
+    **{f"chan_{k}": _chan(k) for k in ("merged", "fractal", "stroke", "segment", "zone")}, "chan_trade_point": _panel(_trade_points), "chan_divergence": _panel(_divergence),
 }
 
 

@@ -60,3 +60,8 @@ def average_rank(x: Column, partition: Sequence[str], window: type) -> Column:
     """Rank from 1 among the partition's non-NULL values, ties averaged; NULL for NULL."""
     order = window.partitionBy(*partition).orderBy(x.asc_nulls_last())
     return F.when(x.isNotNull(), F.rank().over(order) + (F.count(F.lit(1)).over(window.partitionBy(*partition, x)) - 1) / 2)
+
+
+def total(*columns: Column) -> Column:
+    """Sum across a row's columns, NULLs left out; 0 if all are."""
+    return F.aggregate(F.filter(F.array(*(c.cast("double") for c in columns)), lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)

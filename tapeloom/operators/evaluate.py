@@ -147,6 +147,13 @@ def half_life(x: Sequence[float], y: Sequence[float]) -> tuple[float, float]:
     return (-math.log(2) / a if a < 0 else math.inf), float(a)
 
 
+def ic_decay(df: DataFrame, factor: str, first: int, decay: int, method: str = "pearson") -> DataFrame:
+    """(half_life, rate): how fast the mean coefficient falls from period to period, by the fit of ``half_life``; one row."""
+    means = sorted((r["period"], r["ic_mean"]) for r in multi_period_ic(df, factor, first, decay, method).collect() if r["ic_mean"] is not None)  # a row for each period
+    fitted = half_life([p for p, _ in means], [m for _, m in means]) if len(means) > 1 else (None, None)
+    return df.sparkSession.createDataFrame([tuple(None if x is None else float(x) for x in fitted)], "half_life double, rate double")
+
+
 def group_returns(df: DataFrame, factor: str, label: str, n: int = 5, reverse: bool = False) -> DataFrame:
     """(datetime, group_1 .. group_n, long_short, long_average, cumulated ones): mean labels of n equal groups by factor.
 
@@ -215,3 +222,15 @@ def normal_quantile_points(df: DataFrame, column: str, n: int = 20) -> DataFrame
     row = df.agg(F.percentile(column, ps).alias("q"), F.avg(column).alias("m"), F.stddev_samp(column).alias("s"))
     points = F.arrays_zip(F.array(*map(F.lit, ps)).alias("p"), F.col("q").alias("sample"), F.array(*(F.lit(NormalDist().inv_cdf(p)) for p in ps)).alias("z"))
     return row.select(F.explode(points).alias("x"), "m", "s").select("x.p", "x.sample", (F.col("m") + F.col("s") * F.col("x.z")).alias("normal"))
+
+
+def analysis(name: str):
+    """The analysis of a factor by its name: a function of (df, factor, label)."""
+    known = {
+        "ic": information_coefficients, "rank_ic": lambda d, f, y: information_coefficients(d, f, y, "spearman"), "groups": group_returns,
+        "monthly_heat": lambda d, f, y: monthly_heat(information_coefficients(d, f, y)), "autocorrelation": lambda d, f, y: autocorrelation(d, f),
+        "turnover": lambda d, f, y: turnover(d, f), "quantile_points": lambda d, f, y: normal_quantile_points(d, f),
+    }
+    if name not in known:
+        raise ValueError(f"no analysis {name!r}; there are {', '.join(known)}")
+    return known[name]

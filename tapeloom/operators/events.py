@@ -322,6 +322,17 @@ def negative_mse(p: Column, y: Column) -> Column:
     return -F.avg((p - y) * (p - y))
 
 
+def log_loss(p: Column, y: Column, least: float = 1e-15) -> Column:
+    """Mean negative log likelihood of 0/1 labels under the probabilities of 1, which are kept off 0 and 1 by ``least``."""
+    sure = lambda x: F.ln(F.greatest(x, F.lit(least)))
+    return -F.avg(F.when(y == 1, sure(p)).otherwise(sure(1 - p)))
+
+
+def accuracy(p: Column, y: Column, cut: float = 0.5) -> Column:
+    """Share of rows whose probability is on the side of ``cut`` that their 0/1 label is."""
+    return F.avg(((p >= cut).cast("int") == y).cast("double"))
+
+
 def pinball(p: Column, y: Column, q: float) -> Column:
     """Mean quantile loss."""
     return F.avg(F.greatest(q * (y - p), (q - 1) * (y - p)))
@@ -356,9 +367,19 @@ def overfit_probability(results: DataFrame, partitions: int) -> float:
     return float(np.mean([0.5 * (1 + math.erf(-v / width / math.sqrt(2))) for v in x]))
 
 
+def _scales(rows: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """One row: an offset ``_c_0`` and a width ``_c_1`` for each column c."""
+    f = {"minmax": lambda c: (F.min(c), F.max(c) - F.min(c)), "standard": lambda c: (F.avg(c), F.stddev_pop(c))}[how]
+    return rows.agg(*(x.alias(f"_{c}_{k}") for c in columns for k, x in enumerate(f(c))))
+
+
 def scaled(rows: DataFrame, columns: list[str], how: str) -> DataFrame:
     """Min-max or standard scaling by statistics of all rows (one broadcast row)."""
-    f = {"minmax": lambda c: (F.min(c), F.max(c) - F.min(c)), "standard": lambda c: (F.avg(c), F.stddev_pop(c))}[how]
-    stats = rows.agg(*(x.alias(f"_{c}_{k}") for c in columns for k, x in enumerate(f(c))))
-    at = rows.crossJoin(F.broadcast(stats))
+    at = rows.crossJoin(F.broadcast(_scales(rows, columns, how)))
     return at.select(*(safe.ratio(F.col(c) - F.col(f"_{c}_0"), F.col(f"_{c}_1")).alias(c) if c in columns else F.col(c) for c in rows.columns))
+
+
+def unscaled(rows: DataFrame, fitted: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """The inverse of ``scaled``: rows on the scale of ``fitted``, the rows that the statistics come from."""
+    at = rows.crossJoin(F.broadcast(_scales(fitted, columns, how)))
+    return at.select(*((F.col(c) * F.col(f"_{c}_1") + F.col(f"_{c}_0")).alias(c) if c in columns else F.col(c) for c in rows.columns))

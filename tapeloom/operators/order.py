@@ -85,3 +85,9 @@ def running_sum(df: DataFrame, value: str, first: str, second: str | None = None
     own = F.sum(value).over(Window.partitionBy("_range").orderBy(*ranges.by).rowsBetween(Window.unboundedPreceding, 0))
     before = _offsets(cut, lambda: F.sum(F.col(value).cast("double")), 0.0)
     return cut.withColumn(name, own + before).drop("_range")
+
+
+def shuffled(df: DataFrame, key: str, seed: int, name: str = "position") -> DataFrame:
+    """Adds the position of each row in an order that depends on the seed and the row's unique ``key`` alone."""
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
+    return numbered(df.withColumn("_draw", draw), "_draw", key, name).drop("_draw")

@@ -133,29 +133,33 @@ def segments(lines: list[Line]) -> list[Line]:
 class Zone:
     first: int
     last: int
-    zg: float  # top and bottom of what all lines share
+    zg: float  # top and bottom of what the second and fourth lines share
     zd: float
-    gg: float  # extremes
+    gg: float  # extremes of the lines between the first and the last; of the last too unless it goes beyond them
     dd: float
+    way: bool | None  # up or down if the first and last lines go that way, from outside the extremes to outside them
 
 
 def zones(lines: list[Line]) -> list[Zone]:
-    """Where three lines in a row overlap, extended by those after it that do too; at least four lines."""
+    """Stretches of four lines or more that all meet what the second and fourth share; one ends where a line does not, and the next may begin with its last line."""
     out, i = [], 0
-    while i + 2 < len(lines):
-        some = lines[i : i + 3]
-        zg, zd = min(x.high for x in some), max(x.low for x in some)
-        if zg <= zd:
-            i += 1
-            continue
-        k = i + 3
-        while k < len(lines) and lines[k].low <= zg and lines[k].high >= zd:
+    while i + 3 < len(lines):
+        zg, zd = min(lines[i + 1].high, lines[i + 3].high), max(lines[i + 1].low, lines[i + 3].low)
+        k = i
+        while zg >= zd and k < len(lines) and lines[k].low <= zg and lines[k].high >= zd:
             k += 1
-        if k - i >= 4:
-            out.append(Zone(i, k - 1, zg, zd, max(x.high for x in lines[i:k]), min(x.low for x in lines[i:k])))
-            i = k - 1
-        else:
+        if k - i < 4:
             i += 1
+            continue
+        first, last, every = lines[i], lines[k - 1], lines[i:k]
+        beyond = last.high == max(x.high for x in every) if last.up else last.low == min(x.low for x in every)
+        core = lines[i + 1 : k - 1 if beyond else k]
+        gg, dd = max(x.high for x in core), min(x.low for x in core)
+        way = None
+        if first.up == last.up and (first.low <= dd and last.high >= gg if first.up else first.high >= gg and last.low <= dd):
+            way = first.up
+        out.append(Zone(i, k - 1, zg, zd, gg, dd, way))
+        i = k - 1
     return out
 
 
@@ -163,12 +167,11 @@ ROW = "kind string, id int, start_id int, end_id int, start_at {t}, end_at {t},
 
 
 def structure(bars: DataFrame, rule: str = "old") -> DataFrame:
-    """Rows of kind merged, fractal, stroke, segment, zone, trade_point, in one table.
+    """Rows of kind merged, fractal, stroke, segment, zone, in one table.
 
     ``start_id`` and ``end_id`` refer to the rows that a row is made of: bars of a merged bar, the
     merged bar of a fractal, fractals' merged bars of a line, lines of a zone. A zone's values are
-    its bottom and top; high and low its extremes. Trade points: 1 or -1 in end_value marks a
-    pull-back that stays outside the zone it left.
+    its bottom and top; high and low its extremes.
     """
     kinds = {f.name: f.dataType.simpleString() for f in bars.schema}
     columns = ["symbol", "kind", "id", "start_id", "end_id", "start_at", "end_at", "start_value", "end_value", "high", "low", "up"]
@@ -186,12 +189,7 @@ def structure(bars: DataFrame, rule: str = "old") -> DataFrame:
             out += [(symbol, kind, i, x.start.at, x.end.at, at[x.start.bar.last], at[x.end.bar.last], x.start.value, x.end.value, x.high, x.low, x.up) for i, x in enumerate(lines)]
         for i, z in enumerate(zones(strokes)):
             a, b = strokes[z.first], strokes[z.last]
-            out.append((symbol, "zone", i, z.first, z.last, at[a.start.bar.last], at[b.end.bar.last], z.zd, z.zg, z.gg, z.dd, b.end.value > a.start.value))
-            if z.last + 2 < len(strokes):
-                away, back = strokes[z.last + 1], strokes[z.last + 2]
-                side = 1.0 if away.up and back.low > z.zg else -1.0 if not away.up and back.high < z.zd else 0.0
-                if side:
-                    out.append((symbol, "trade_point", i, z.last + 1, z.last + 2, at[away.start.bar.last], at[back.end.bar.last], back.end.value, side, back.high, back.low, side > 0))
+            out.append((symbol, "zone", i, z.first, z.last, at[a.start.bar.last], at[b.end.bar.last], z.zd, z.zg, z.gg, z.dd, z.way))
         return pd.DataFrame(out, columns=columns)
 
     schema = f"symbol {kinds['symbol']}, " + ROW.format(t=kinds["datetime"])
@@ -218,3 +216,41 @@ def divergences(power: DataFrame, lines: DataFrame) -> DataFrame:
 def zone_ratio(zone_rows: DataFrame) -> DataFrame:
     """(symbol, id, ratio): the shared part of a zone's whole range, in per cent."""
     return zone_rows.select("symbol", "id", (100 * safe.ratio(F.col("end_value") - F.col("start_value"), F.col("high") - F.col("low"))).alias("ratio"))
+
+
+def trade_points(lines: DataFrame, zone_rows: DataFrame, power: DataFrame) -> DataFrame:
+    """(symbol, id, zone, point): the first, second and third kind of buying and selling points, at the line ``id``.
+
+    A zone's first line enters it, its last one leaves it. Leaving is weak if the zone points up or
+    down and the last line has less power than the first.
+
+    First: a zone that begins with the last line of one that points the same way and lies clear of
+    it is left weakly. Second: of seven lines or more, the last but two went to the zone's extreme,
+    and the last one, in the direction of the first, does not reach it or is weak. Third: of five
+    lines or more, the line after the last comes back and stays outside what the lines share.
+    """
+    own = Window.partitionBy("symbol").orderBy("id")
+    line = lines.join(power.select("symbol", "id", "total"), ["symbol", "id"]).select("symbol", "id", F.struct("up", "high", "low", "total").alias("x"))
+    at = lambda name: line.select("symbol", F.col("id").alias(f"{name}_id"), F.col("x").alias(name))
+    z = zone_rows.select("symbol", "id", F.col("start_id").alias("enters_id"), F.col("end_id").alias("leaves_id"), F.col("start_value").alias("zd"), F.col("end_value").alias("zg"), F.col("high").alias("gg"), F.col("low").alias("dd"), F.col("up").alias("way"))
+    z = z.withColumns({"n": F.col("leaves_id") - F.col("enters_id") + 1, "back_id": F.col("leaves_id") + 1, "third_id": F.col("leaves_id") - 2})
+    z = z.join(at("enters"), ["symbol", "enters_id"]).join(at("leaves"), ["symbol", "leaves_id"]).join(at("third"), ["symbol", "third_id"], "left").join(at("back"), ["symbol", "back_id"], "left")
+    beyond = F.when(F.col("leaves.up"), F.col("leaves.high") >= F.col("gg")).otherwise(F.col("leaves.low") <= F.col("dd"))
+    z = z.withColumns({
+        "weak": F.coalesce(F.col("way").isNotNull() & (F.col("leaves.total") < F.col("enters.total")), F.lit(False)),
+        "same": F.when(F.col("enters.up") == F.col("leaves.up"), F.col("leaves.up")), "inner": F.col("n") - 2 - beyond.cast("int"),
+    })
+    before = lambda c: F.lag(c).over(own)
+    follows = (before("leaves_id") == F.col("enters_id")) & (before("way") == F.col("way")) & F.when(F.col("way"), before("gg") < F.col("dd")).otherwise(before("dd") > F.col("gg"))
+    z = z.withColumn("trend", F.coalesce(follows, F.lit(False)))
+    young = F.col("inner") < 9  # nine lines within make a zone of the next level
+    short = F.when(F.col("same").isNull(), False).when(F.col("same"), (F.col("third.high") == F.col("gg")) & ((F.col("third.high") > F.col("leaves.high")) | F.col("weak"))).otherwise(
+        (F.col("third.low") == F.col("dd")) & ((F.col("third.low") < F.col("leaves.low")) | F.col("weak"))
+    )
+    outside = F.when(F.col("back.up"), F.col("back.high") < F.col("zd")).otherwise(F.col("back.low") > F.col("zg"))
+    side = lambda up: F.when(up, "sell").otherwise("buy")
+    point = lambda k, when, i, up: F.when(young & when, F.struct(F.col(i).alias("line"), F.concat(F.lit(k), side(F.col(up))).alias("point")))
+    found = F.array(
+        point("1", F.col("trend") & F.col("weak"), "leaves_id", "way"), point("2", (F.col("n") >= 7) & short, "leaves_id", "same"), point("3", (F.col("n") >= 5) & outside, "back_id", "back.up"),
+    )
+    return z.select("symbol", F.col("id").alias("zone"), F.explode(F.filter(found, lambda p: p.isNotNull())).alias("p")).select("symbol", F.col("p.line").alias("id"), "zone", "p.point")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-TOPICS = ("factors", "bars", "features", "events", "markets", "signals", "alphas", "recursions")
+TOPICS = ("factors", "bars", "features", "events", "markets", "signals", "alphas", "recursions", "measures")
 
 
 def _modules() -> list:

@@ -1,7 +1,7 @@
 """Recurrences on a stream: the step functions of the batch, with state kept for each symbol.
 
-Rows of a micro-batch are taken in time order; rows earlier than the last one seen are dropped, as
-in a batch over ordered bars there are none.
+Rows of a micro-batch are taken in time order, rows of the same time as they come; rows earlier than
+the last one seen are dropped, as in a batch over ordered bars there are none.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ class Steps(StatefulProcessor):
         if self.kept.exists():
             kept = self.kept.get()
             last, state = kept[0], pickle.loads(kept[1])
-            found = found[found[self.time] > pd.Timestamp(last)]
+            found = found[found[self.time] >= pd.Timestamp(last)]
         out = []
         for values in found[list(self.r.inputs)].itertuples(index=False, name=None):
             state, emitted = self.r.step(state, values)

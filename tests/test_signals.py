@@ -1,5 +1,8 @@
 """Line measures, signals and checks around models, on small tables worked out by hand."""
 
+import itertools
+import random
+from collections import Counter, defaultdict
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -141,3 +144,77 @@ def test_equal_swings(spark):
 def test_meta_label_takes_the_first_of_equals(spark):
     made = signals.meta_label([F.array(F.lit(0.5), F.lit(0.5)), F.array(F.lit(0.25), F.lit(0.25))], F.lit(0))
     assert spark.range(1).select(*(c.alias(k) for k, c in made.items())).first().asDict() == {"predict_prob": 0.375, "label": 1}
+
+
+def slow_zones(lines):
+    """Lists of line numbers, by the docstring's words; lines are (up, high, low)."""
+    out, i = [], 0
+    while i <= len(lines) - 4:
+        top, bottom = min(lines[i + 1][1], lines[i + 3][1]), max(lines[i + 1][2], lines[i + 3][2])
+        run = list(itertools.takewhile(lambda k: top >= bottom and lines[k][2] <= top and lines[k][1] >= bottom, range(i, len(lines))))
+        if len(run) >= 4:
+            out.append((run, top, bottom))
+            i = run[-1]
+        else:
+            i += 1
+    return out
+
+
+def slow_points(lines, power):
+    out, before = set(), None
+    for number, (run, top, bottom) in enumerate(slow_zones(lines)):
+        first, last = run[0], run[-1]
+        up = lines[last][0]
+        most = max(lines[k][1] for k in run) if up else min(lines[k][2] for k in run)
+        beyond = most == lines[last][1 if up else 2]
+        inner = run[1:-1] if beyond else run[1:]
+        gg, dd = max(lines[k][1] for k in inner), min(lines[k][2] for k in inner)
+        way = None
+        if lines[first][0] == up and ((lines[first][2] <= dd and lines[last][1] >= gg) if up else (lines[first][1] >= gg and lines[last][2] <= dd)):
+            way = up
+        weak, side = way is not None and power[last] < power[first], "sell" if up else "buy"
+        if len(inner) - 1 < 9:  # the level counts the lines within but one
+            if weak and before and before[0] == first and before[1] == way and (before[2] < dd if up else before[3] > gg):
+                out.add((last, number, "1" + side))
+            if len(run) >= 7 and lines[first][0] == up:
+                _, high, low = lines[run[-3]]
+                if (high == gg and (high > lines[last][1] or weak)) if up else (low == dd and (low < lines[last][2] or weak)):
+                    out.add((last, number, "2" + side))
+            if len(run) >= 5 and last + 1 < len(lines):
+                back, high, low = lines[last + 1]
+                if high < bottom if back else low > top:
+                    out.add((last + 1, number, "3" + ("sell" if back else "buy")))
+        before = (last, way, gg, dd)
+    return out
+
+
+def test_trade_points_against_brute_force(spark):
+    draw, rows = random.Random(3), []
+    for symbol in range(40):
+        at = 1000.0
+        for day in range(400):
+            move, reach = draw.gauss(0, 4), abs(draw.gauss(0, 1))
+            rows.append((symbol, date.fromordinal(730000 + day), at, max(at, at + move) + reach, min(at, at + move) - reach, at + move))
+            at += move
+    bars = spark.createDataFrame(rows, "symbol int, datetime date, open double, high double, low double, close double")
+    made = structure.structure(bars, "any")
+    lines = made.where("kind = 'stroke'")
+    power = structure.line_power(lines, bars.withColumn("move", F.col("close") - F.col("open")), "move")
+    found, kinds = {(r["symbol"], r["id"], r["zone"], r["point"]) for r in structure.trade_points(lines, made.where("kind = 'zone'"), power).collect()}, Counter()
+    own, weights = defaultdict(dict), {(r["symbol"], r["id"]): r["total"] for r in power.collect()}
+    for r in lines.collect():
+        own[r["symbol"]][r["id"]] = (r["up"], r["high"], r["low"])
+    expected = set()
+    for symbol, some in own.items():
+        listed = [some[k] for k in range(len(some))]
+        expected |= {(symbol, *p) for p in slow_points(listed, [weights[symbol, k] for k in range(len(listed))])}
+    assert found == expected
+    kinds.update(p for *_, p in found)
+    assert set(kinds) == {k + side for k in "123" for side in ("buy", "sell")}
+
+
+def test_coefficients_that_halve(spark):
+    from tapeloom.operators import evaluate
+
+    half, rate = evaluate.half_life([1, 2, 3, 4, 5], [0.8 * 0.5 ** (k / 3) for k in range(5)])
+    assert abs(half - 3) < 1e-6 and rate < 0
