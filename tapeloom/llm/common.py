@@ -15,6 +15,15 @@ BLANKS = " \t\n\x0b\x0c\r"
 NO_ID = -(2**63)
 #: Rows of ids, hashes and numbers (under 100 bytes) that may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Rows with texts that a Python worker gets at once.
+BATCH_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Makes the session hand Python at most ``BATCH_ROWS`` rows at once, as a default of 10,000 long texts fills an executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def pick(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
