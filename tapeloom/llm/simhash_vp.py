@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -235,16 +234,31 @@ def links(points: DataFrame, shard_points: int = SHARD_POINTS) -> DataFrame:
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(fp[at]), pa.array(home)], ["shard", "fp", "home"])
 
-    def join(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values("fp")
-        fp = shard["fp"].to_numpy()
-        roots = link(fp.view(np.uint64), shard["home"].to_numpy())
-        at = np.flatnonzero(roots != np.arange(len(fp)))
-        return pd.DataFrame({"x": fp[at], "y": fp[roots[at]]})
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def ended() -> pa.RecordBatch:
+            fp, home = (np.concatenate(x) for x in zip(*held, strict=True))
+            roots = link(fp.view(np.uint64), home)
+            at = np.flatnonzero(roots != np.arange(len(fp)))
+            ends = fp[at], fp[roots[at]]
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(*ends)), pa.array(np.minimum(*ends))], ["a", "b"])
+
+        for batch in batches:
+            shard, fp, home = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo < hi and shard[lo] != now:
+                    if held:
+                        yield ended()
+                    now, held = shard[lo], []
+                held.append((fp[lo:hi], home[lo:hi]))
+        if held:
+            yield ended()
 
     # A number of partitions of its own keeps shards, small in bytes but not in work, from being put together.
     dealt = points.select("fp").mapInArrow(deal, "shard long, fp long, home boolean").repartition(min(4 * shards, 10_000), "shard")
-    return dealt.groupBy("shard").applyInPandas(join, "x long, y long").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    return dealt.sortWithinPartitions("shard", "fp").mapInArrow(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, shard_points: int = SHARD_POINTS) -> DataFrame:
