@@ -30,7 +30,8 @@ from tapeloom.llm.common import forget, looked_up, pick, rewritten, written
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Distinct fingerprints that a shard is meant to hold, and the bounds of the tree's sample.
 SHARD_POINTS, SAMPLE_LEAST, SAMPLE_MOST = 32768, 4096, 1_000_000
-_LEAF, _BLOCK = 4096, 64
+#: Homes below which a shard is not split further; rows and columns of a block of comparisons.
+_LEAF, _BLOCK, _WIDTH = 256, 64, 4096
 
 
 def fingerprint(text: str | None) -> int:
@@ -125,30 +126,64 @@ def route(tree: list, points: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.
             stack.append((side, at[go], (home & stays)[go]))
 
 
-def _stars(points: np.ndarray, labels: np.ndarray, at: np.ndarray) -> None:
-    """Links all of points[at] within RADIUS, lowering labels (indexes of parents) to a common root."""
-    left = at
-    while len(left):
-        seeds, rest = left[:_BLOCK], left[_BLOCK:]
-        near = np.bitwise_count(points[seeds][:, None] ^ points[left][None, :]) <= RADIUS
-        near[np.arange(len(seeds)), np.arange(len(seeds))] = False
-        if not near.any():
-            left = rest
+def _near(some: np.ndarray, many: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes (into some, into many) of the pairs within RADIUS; it stops soon after more than ``most`` are found."""
+    found, n = [(np.empty(0, np.int64),) * 2], 0
+    for k in range(0, len(many), _WIDTH):  # pieces that fit a processor's cache
+        piece = many[k : k + _WIDTH]
+        if len(hits := np.flatnonzero(_away(some[:, None], piece[None, :]) <= RADIUS)):
+            a, b = np.divmod(hits, len(piece))
+            found.append((a, b + k))
+            if (n := n + len(a)) > most:
+                break
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def _stars(points: np.ndarray, labels: np.ndarray, own: np.ndarray, guests: np.ndarray) -> None:
+    """Links points[own] with each other and with points[guests] within RADIUS, lowering labels (indexes of parents) to common roots.
+
+    Of two points within RADIUS one is at home in some shard where both are, so guests are compared
+    with homes only: the work is homes times rows, however many visit.
+    """
+    left, n_own = np.concatenate((own, guests)), len(own)
+    while n_own:
+        seeds = left[: min(_BLOCK, n_own)]
+        a, b = _near(points[seeds], points[left], len(left) + len(seeds))  # each seed finds itself too
+        if len(a) <= len(left) + len(seeds):
+            _join(labels, seeds[a], left[b])
+            left, n_own = left[len(seeds) :], n_own - len(seeds)
             continue
-        # Breadth-first from the first seed with a neighbour; what it reaches needs no more comparing.
-        first = int(near.any(axis=1).argmax())
-        frontier, pool = left[first : first + 1], np.delete(left[first:], 0)
+        # Many are alike: breadth-first from the seed with the most neighbours; what it reaches needs no more comparing.
+        first = int(np.bincount(a).argmax())
+        frontier, pool, at_home = left[first : first + 1], np.delete(left, first), np.delete(np.arange(len(left)) < n_own, first)
         group = [frontier]
         while len(frontier) and len(pool):
-            reached = np.zeros(len(pool), bool)
-            for k in range(0, len(frontier), _BLOCK):
-                some = frontier[k : k + _BLOCK]
-                reached |= (np.bitwise_count(points[some][:, None] ^ points[pool][None, :]) <= RADIUS).any(axis=0)
-            frontier, pool = pool[reached], pool[~reached]
+            reached = _reached(points[frontier], points[pool])
+            frontier, pool, at_home = pool[reached], pool[~reached], at_home[~reached]
             group.append(frontier)
-        roots = np.unique(_roots(labels, np.concatenate(group)))
-        labels[roots] = roots[0]
-        left = pool
+        group = np.concatenate(group)
+        _join(labels, np.full(len(group), group[0]), group)
+        left, n_own = pool, int(at_home.sum())
+
+
+def _reached(some: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Which of ``many`` lie within RADIUS of one of ``some``."""
+    out = np.zeros(len(many), bool)
+    for k in range(0, len(some), _BLOCK):
+        at = np.flatnonzero(~out)
+        for piece in np.split(at, range(_WIDTH, len(at), _WIDTH)):
+            out[piece] = (_away(some[k : k + _BLOCK, None], many[None, piece]) <= RADIUS).any(axis=0)
+    return out
+
+
+def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Gives each a and its b one root, the smallest of their groups."""
+    while len(a):
+        ups = _roots(labels, a), _roots(labels, b)
+        low, high = np.minimum(*ups), np.maximum(*ups)
+        open_ = low < high
+        a, b, low, high = (x[open_] for x in (a, b, low, high))
+        np.minimum.at(labels, high, low)
 
 
 def _roots(labels: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -156,6 +191,7 @@ def _roots(labels: np.ndarray, at: np.ndarray) -> np.ndarray:
     while True:
         higher = labels[up]
         if (higher == up).all():
+            labels[at] = up
             return up
         up = higher
 
@@ -163,7 +199,8 @@ def _roots(labels: np.ndarray, at: np.ndarray) -> np.ndarray:
 def link(points: np.ndarray, home: np.ndarray, seed: int = 1) -> np.ndarray:
     """For each point the index of its group's root: groups of points joined by links in this shard.
 
-    Splits by vantage points until few points are left or splitting stops paying.
+    Splits by vantage points until few homes are left or splitting stops paying: a split halves
+    the homes, and of the rows that visit it keeps about three in four on either side.
     """
     labels, stack = np.arange(len(points)), [(np.flatnonzero(home), np.flatnonzero(~home), seed)]
     while stack:
@@ -174,10 +211,10 @@ def link(points: np.ndarray, home: np.ndarray, seed: int = 1) -> np.ndarray:
             both, home_of = np.concatenate((own, guests)), np.arange(len(own) + len(guests)) < len(own)
             (go_in, stays_in), (go_out, stays_out) = _sides(_away(points[both], vantage), mu, vantage, home_of)
             inner, outer = ((both[go & home_of & stays], both[go & ~(home_of & stays)]) for go, stays in ((go_in, stays_in), (go_out, stays_out)))
-            if max(len(inner[0]) + len(inner[1]), len(outer[0]) + len(outer[1])) <= 0.95 * (len(own) + len(guests)):
+            if sum(len(h) * (len(h) + len(g)) for h, g in (inner, outer)) <= 0.95 * len(own) * len(both):
                 stack += [(*inner, 2 * seed), (*outer, 2 * seed + 1)]
                 continue
-        _stars(points, labels, np.concatenate((own, guests)))
+        _stars(points, labels, own, guests)
     return _roots(labels, np.arange(len(points)))
 
 

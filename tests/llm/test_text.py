@@ -203,6 +203,36 @@ def test_tree_join_keeps_every_link():
     assert links == {(i, j) for i, j in near if i < j}
 
 
+def test_visitors_are_compared_with_homes_only(monkeypatch):
+    draw, counted = np.random.default_rng(8), []
+    points = draw.integers(0, 2**64, 22_000, dtype=np.uint64)
+    points[-1] = points[-2] ^ np.uint64(5)  # two visitors, which meet where one of them is at home
+    points[-3] = points[0] ^ np.uint64(5)
+    home = np.arange(len(points)) < 2000
+    count = np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: counted.append(x.size) or count(x))
+    roots = simhash_vp.link(points, home)
+    assert np.flatnonzero(roots != np.arange(len(points))).tolist() == [len(points) - 3] and roots[-3] == 0
+    assert sum(counted) < home.sum() * len(points)
+
+
+def test_links_of_dense_balls_in_shards():
+    draw = np.random.default_rng(9)
+    balls = np.repeat(draw.integers(0, 2**64, 4, dtype=np.uint64), 700)
+    for _ in range(4):
+        balls = balls ^ (np.uint64(1) << draw.integers(0, 64, len(balls)).astype(np.uint64))
+    points = draw.permutation(np.unique(np.concatenate([balls, draw.integers(0, 2**64, 1500, dtype=np.uint64)])))
+    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= 3
+    expected = np.arange(len(points))
+    while not (lower := np.where(near, expected[None, :], len(points)).min(axis=1)).tolist() == expected.tolist():
+        expected = lower
+    for leaf in (20, 100, 5000):
+        found = np.arange(len(points))
+        for _, at, home in simhash_vp.route(simhash_vp.grow(points[:1000], leaf), points):
+            simhash_vp._join(found, at, at[simhash_vp.link(points[at], home)])
+        assert simhash_vp._roots(found, np.arange(len(points))).tolist() == expected.tolist()
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100 + i, 99) for i in range(1, 30)] + [(500, 40)]
     found = {r["node"]: r["component"] for r in simhash_vp.components(spark.createDataFrame([(max(e), min(e)) for e in edges], "a long, b long")).collect()}
