@@ -1,4 +1,4 @@
-"""Arithmetic in which undefined means NULL, never an error, NaN or infinity."""
+"""Arithmetic in which undefined means NULL, never an error, NaN or infinity; ``ieee_`` functions follow IEEE 754 instead."""
 
 from __future__ import annotations
 
@@ -21,6 +21,17 @@ def ratio(x: Column, y: Column) -> Column:
     return F.try_divide(x.cast("double"), y.cast("double"))
 
 
+def ieee_ratio(x: Column, y: Column) -> Column:
+    """x / y as SQL engines with IEEE 754 divide: by zero it is infinite with the sign of x, and NaN for 0 / 0."""
+    x, y = x.cast("double"), y.cast("double")
+    return F.when(y == 0, x * F.lit(float("inf"))).otherwise(F.try_divide(x, y))
+
+
+def ieee_ln(x: Column) -> Column:
+    """Logarithm: minus infinity at zero, NaN below."""
+    return F.when(x > 0, F.ln(x)).when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan")))
+
+
 def corr(x: Column, y: Column, window: WindowSpec | None = None) -> Column:
     """Pearson correlation of the pairs without NULL; NULL where a side does not vary.
 

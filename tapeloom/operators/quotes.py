@@ -22,11 +22,12 @@ from tapeloom.operators import grouped
 BLOCK, LEAST, CLASSICAL, FLOOR = 30, 32, 10.0, 1e-6
 
 
-def sigmas(mids: DataFrame, mid: str = "mid") -> DataFrame:
+def sigmas(mids: DataFrame, mid: str = "mid", ieee: bool = False) -> DataFrame:
     """(symbol, gk, parkinson, classical, tv): estimates from all of a symbol's rows.
 
     Range estimates use whole blocks that another row follows; too few rows give NULL. ``tv`` is
-    the mean of the column itself.
+    the mean of the column itself. Blocks with a price of zero or less are left out; with ``ieee``
+    they count, and the logarithms of their ratios are infinite or NaN, as in SQL.
     """
     own = Window.partitionBy("symbol").orderBy("i")
     every = Window.partitionBy("symbol")
@@ -35,10 +36,10 @@ def sigmas(mids: DataFrame, mid: str = "mid") -> DataFrame:
     blocks = at.groupBy("symbol", "b").agg(
         F.max("n").alias("n"), F.min_by(x, "i").alias("open"), F.min_by("after", "i").alias("after"), F.max(x).alias("hi"), F.min(x).alias("lo"), F.sum(F.col("d") * F.col("d")).alias("dd"), F.sum(x).alias("s"),
     )
-    hl2 = F.pow(F.ln(F.col("hi") / F.col("lo")), F.lit(2.0))
-    whole = (F.col("n") >= LEAST) & F.col("after").isNotNull() & (F.col("lo") > 0)
-    co2 = F.pow(F.ln(F.col("after") / F.col("open")), F.lit(2.0))
-    gk = F.avg(F.when(whole & (F.col("open") > 0) & (F.col("after") > 0), 0.5 * hl2 - (2 * math.log(2) - 1) * co2))
+    log = lambda x, y: safe.ieee_ln(safe.ieee_ratio(F.col(x), F.col(y)))
+    hl2, co2 = F.pow(log("hi", "lo"), F.lit(2.0)), F.pow(log("after", "open"), F.lit(2.0))
+    whole = (F.col("n") >= LEAST) & F.col("after").isNotNull() & (F.lit(ieee) | (F.col("lo") > 0))
+    gk = F.avg(F.when(whole & (F.lit(ieee) | (F.col("open") > 0) & (F.col("after") > 0)), 0.5 * hl2 - (2 * math.log(2) - 1) * co2))
     made = blocks.groupBy("symbol").agg(
         F.when(gk >= 0, F.sqrt(gk)).alias("gk"), F.sqrt(F.avg(F.when(whole, hl2)) / (4 * math.log(2))).alias("parkinson"),
         F.when(F.max("n") >= 2, F.sqrt(F.sum("dd") / CLASSICAL)).alias("classical"), (F.sum("s") / F.max("n")).alias("tv"),

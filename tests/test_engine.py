@@ -3,13 +3,14 @@
 import importlib.util
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from tapeloom import queries
 from tapeloom.catalog import factors
-from tapeloom.operators import bars, events, features, recurrences, structure
+from tapeloom.operators import bars, events, features, quotes, recurrences, structure
 from tapeloom.plans.alphas import FORMULAS, alpha
 from tapeloom.plans.compile import Plan, evaluate
 from tapeloom.plans.expression import ExpressionError, parse
@@ -176,3 +177,34 @@ def test_every_topic_has_queries_and_entry_runs(spark):
     assert set(queries.oracle_sql()) <= set(queries.queries()) and len(factors.OPS) > 50
     assert __spark_entry__.entry(spark).count() > 0
     assert (importlib.util.find_spec("tapeloom.llm") is None) or "op1_language_id" in __spark_entry__.queries()
+
+
+def _zero_priced(spark, folder):
+    """Events of symbols whose prices are zero here and there: within a block, at its ends, twice running, always, and below zero."""
+    zeros = {0: [37], 1: [30], 2: [60], 3: [45, 46], 4: [1, 69], 5: range(70), 6: [], 7: [0]}
+    rows = [(s * 100 + i, s, i, 0.0 if i in own else -5.0 if s == 6 and i == 40 else 20.0 + (i * 37 + s) % 50) for s, own in zeros.items() for i in range(70)]
+    rows += [(900 + i, 8, i, 0.0 if i == 3 else 5.0 + i) for i in range(5)]
+    ts = (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.col("i"))).cast("timestamp_ntz")
+    made = spark.createDataFrame(rows, "event_id long, user_id long, i int, value double")
+    made.select("event_id", ts.alias("ts"), "user_id", "value", F.format_string('{"k": %d}', F.col("i") % 9).alias("props")).write.parquet(f"{folder}/events.parquet")
+
+
+@pytest.mark.parametrize("name", ["quote_sigma"])
+def test_prices_of_zero_as_in_sql(spark, tmp_path, name):
+    _zero_priced(spark, tmp_path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    found = con.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in found.description]
+    own = queries.queries()[name](spark, str(tmp_path))
+    assert sorted(str(tuple(r[c] for c in names)) for r in own.collect()) == sorted(map(str, found.fetchall()))
+
+
+def test_sigmas_leave_out_blocks_with_a_price_of_zero(spark):
+    prices = [0.0 if i == 37 else 20.0 + (i * 37) % 50 for i in range(95)]
+    mids = spark.createDataFrame([(0, i, x) for i, x in enumerate(prices)], "symbol int, i int, mid double")
+    made = quotes.sigmas(mids)
+    hl, co = np.log([(max(prices[a : a + 30]) / min(prices[a : a + 30]), prices[a + 30] / prices[a]) for a in (0, 60)]).T
+    found = made.select("gk", "parkinson", quotes.select_sigma().alias("sigma")).first()
+    assert found.gk == found.sigma == pytest.approx(np.sqrt(np.mean(0.5 * hl**2 - (2 * np.log(2) - 1) * co**2)))
+    assert found.parkinson == pytest.approx(np.sqrt(np.mean(hl**2) / (4 * np.log(2))))
