@@ -47,10 +47,10 @@ def sigmas(mids: DataFrame, mid: str = "mid", ieee: bool = False) -> DataFrame:
     return made
 
 
-def select_sigma(mode: str = "auto") -> Column:
-    """The estimate of a mode, or the first that is positive."""
+def select_sigma(mode: str = "auto", ieee: bool = False) -> Column:
+    """The estimate of a mode, or the first that is positive; infinities and NaN count only with ``ieee``."""
     order = ["gk", "parkinson", "classical", "tv"] if mode == "auto" else [mode]
-    return F.coalesce(*(F.when(F.col(c) > 0, safe.finite(F.col(c))) for c in order))
+    return F.coalesce(*(F.when(F.col(c) > 0, F.col(c) if ieee else safe.finite(F.col(c))) for c in order))
 
 
 def arrivals(quotes: DataFrame, spreads: Sequence[float], dt: int, window: int) -> DataFrame:

@@ -189,7 +189,7 @@ def _zero_priced(spark, folder):
     made.select("event_id", ts.alias("ts"), "user_id", "value", F.format_string('{"k": %d}', F.col("i") % 9).alias("props")).write.parquet(f"{folder}/events.parquet")
 
 
-@pytest.mark.parametrize("name", ["quote_sigma", "bar_zscore"])
+@pytest.mark.parametrize("name", ["quote_sigma", "bar_zscore", "quote_sigma_auto"])
 def test_prices_of_zero_as_in_sql(spark, tmp_path, name):
     _zero_priced(spark, tmp_path)
     con = duckdb.connect()
